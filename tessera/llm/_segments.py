@@ -14,8 +14,8 @@ by anchor key:
 * keys whose segments are all equal (*pure*): decided by a count and a minimum;
 * the other keys (*mixed*): their distinct segments, the *contexts*, go to the
   suffix sorter or suffix tree, in groups of bounded size; a key with more than
-  ``GROUP`` contexts is split further by the whole window, the longest prefix
-  there is, so that no task holds an unbounded group.
+  ``GROUP`` contexts is split further by longer and longer keys, down to the whole
+  window, so that no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -185,12 +185,16 @@ def cut_contexts(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
     return joined.mapInArrow(run, CONTEXT_DDL)
 
 
-def solve(bodies: DataFrame, plan: Plan, sort_shard: Callable[[list[bytes], np.ndarray], np.ndarray], shard_bytes: int) -> DataFrame:
+def solve(bodies: DataFrame, plan: Plan, sort_shard: Callable[[list[bytes], np.ndarray], np.ndarray], shard_bytes: int, steps: tuple[int, ...] = (16, 4, 1)) -> DataFrame:
     """(key, ctx, parts) where parts are runs (from, to, total, least) of windows: occurrences in all, and smallest doc_id.
 
     ``sort_shard(bodies, runs)`` gives a class number for each window of a shard's
     contexts, one after the other; equal windows have equal numbers.  A shard
-    holds whole anchor keys and about ``shard_bytes``.
+    holds whole anchor keys and about ``shard_bytes``.  Contexts of a key that has
+    too many are cut into parts of ``steps[0]`` windows, whose key is all that
+    these windows share: a longer prefix.  Parts that have no like are dropped,
+    equal ones are summed, and the rest is solved in the same way, with shorter
+    parts; a part of one window is its own key.
     """
     out = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("parts", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("total", pa.int64()), ("least", pa.int64())])))])
     ddl = "key long, ctx long, parts array<struct<a: int, b: int, total: long, least: long>>"
@@ -240,26 +244,43 @@ def solve(bodies: DataFrame, plan: Plan, sort_shard: Callable[[list[bytes], np.n
         if held:
             yield flush(held)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "ctx", "j", "side", "h", "n", "least"]
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, length = steps[0], plan.length
         for batch in batches:
             key, ctx, n, least, _, run, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:7])
             for i in range(batch.num_rows):
                 raw = np.frombuffer(batch.column(7)[i].as_buffer(), np.uint64 if plan.words else np.uint8)
-                j = np.arange(run[i])
-                h = tx.range_hash(tx.prefix_sums(raw if plan.words else tx.BYTE_VALUE[raw]), j, j + plan.length)
-                fill = lambda x: pa.array(np.full(run[i], x))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([fill(key[i]), fill(ctx[i]), pa.array(j), pa.array(at[i] - j), pa.array(tx.signed(h)), fill(n[i]), fill(least[i])], names)
+                sums = tx.prefix_sums(raw if plan.words else tx.BYTE_VALUE[raw])
+                part = (at[i] - np.arange(run[i])) // step  # windows by the distance of their anchor
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                count = np.diff(np.append(first, run[i]))
+                shared = at[i] - step * part[first]  # what all windows of a part cover, whether or not they are here
+                inner = tx.range_hash(sums, shared, shared - (step - 1) + length) ^ tx.mix(key[i : i + 1].view(np.uint64) + part[first].astype(np.uint64))
+                whole = tx.range_hash(sums, first, first + count - 1 + length) ^ tx.mix(((at[i] - first) * 4096 + count).astype(np.uint64))
+                fill = lambda x: pa.array(np.full(len(first), x))  # noqa: B023, E731
+                cut = [raw[f : f + c - 1 + length].tobytes() if step > 1 else b"" for f, c in zip(first.tolist(), count.tolist(), strict=True)]
+                columns = (fill(key[i]), fill(ctx[i]), pa.array(first), pa.array(tx.signed(inner)), pa.array(tx.signed(whole)), fill(n[i]), fill(least[i]), pa.array(count), pa.array(at[i] - first), pa.array(cut, pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["key", "ctx", "j", "k2", "c2", "n", "least", "run", "at", "body"])
 
     spark = bodies.sparkSession
-    small = bodies.where(F.col("n_ctx") <= GROUP)
+    small, hot = bodies.where(F.col("n_ctx") <= GROUP), bodies.where(F.col("n_ctx") > GROUP)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sharded = small.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run_shards, ddl)
-    single = bodies.where(F.col("n_ctx") > GROUP).mapInArrow(explode, "key long, ctx long, j long, side long, h long, n long, least long")
-    single = _store.materialize(single, "windows")
-    sums = _store.materialize(single.groupBy("key", "side", "h").agg(F.sum("n").alias("total"), F.min("least").alias("low")), "window-sums")
-    each = single.join(sums, ["key", "side", "h"]).select("key", "ctx", F.struct(F.col("j").cast("int").alias("a"), (F.col("j") + 1).cast("int").alias("b"), "total", F.col("low").alias("least")).alias("part"))
-    return sharded.unionByName(each.groupBy("key", "ctx").agg(F.collect_list("part").alias("parts")))
+    if not steps or not hot.take(1):
+        return sharded
+    pieces = _store.materialize(hot.mapInArrow(split, "key long, ctx long, j long, k2 long, c2 long, n long, least long, run long, at long, body binary"), "pieces")
+    distinct = pieces.groupBy("k2", "c2").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.first("run").alias("run"), F.first("at").alias("at"), F.first("body").alias("body"))
+    distinct = _store.materialize(distinct, "distinct-pieces")
+    joined = distinct.join(_store.materialize(distinct.groupBy("k2").agg(F.count(F.lit(1)).alias("n_ctx")), "piece-sizes"), "k2")
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("run").cast("int").alias("b"), F.col("n").alias("total"), "least"))
+    alone = joined.where("n_ctx = 1 and n > 1").select("k2", "c2", whole.alias("parts"))
+    mixed = _store.materialize(joined.where("n_ctx > 1").select(F.col("k2").alias("key"), F.col("c2").alias("ctx"), *CONTEXT.names[2:]), "mixed-pieces")
+    again = solve(mixed, plan, sort_shard, shard_bytes, steps[1:]).select(F.col("key").alias("k2"), F.col("ctx").alias("c2"), F.filter("parts", lambda p: p["total"] > 1).alias("parts"))
+    solved = _store.materialize(alone.unionByName(again.where(F.size("parts") > 0)), "solved-pieces")
+    j = F.col("j").cast("int")
+    moved = F.transform("parts", lambda p: F.struct((p["a"] + j).alias("a"), (p["b"] + j).alias("b"), p["total"].alias("total"), p["least"].alias("least")))
+    back = pieces.select("key", "ctx", "j", "k2", "c2").join(solved, ["k2", "c2"]).select("key", "ctx", moved.alias("parts"))
+    return sharded.unionByName(back.groupBy("key", "ctx").agg(F.flatten(F.collect_list("parts")).alias("parts")))
 
 
 def removals(docs: DataFrame, plan: Plan, tag: str, sort_shard: Callable[[list[bytes], np.ndarray], np.ndarray], shard_bytes: int) -> DataFrame:
