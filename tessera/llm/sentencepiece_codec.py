@@ -46,6 +46,7 @@ MARK = "▁"
 TABLE_UNITS, LONG = 20_000, 40
 #: Units a task counts or remembers before it hands counts on or forgets.
 MEMORY = 200_000
+_NEVER = float("inf")
 _UNIT = re.compile("▁*[^▁]+|▁+")
 
 
@@ -59,6 +60,7 @@ class Pieces:
     usable: dict[str, int] = field(default_factory=dict)
     byte: dict[int, int] = field(default_factory=dict)
     unknown: int = 0
+    cost: dict[str, float] = field(default_factory=dict)
 
     @property
     def longest(self) -> int:
@@ -67,13 +69,10 @@ class Pieces:
     def fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
 
-    def bytes_of(self, i: int) -> bytes | None:
-        """What an id stands for; None for control pieces."""
-        return self._decoded[i]
-
     def prepare(self) -> Pieces:
+        self.cost = {t: -self.score[i] for t, i in self.usable.items()}
         back = {v: k for k, v in self.byte.items()}
-        self._decoded = [bytes([back[i]]) if i in back else (t.replace(MARK, " ").encode() if self.usable.get(t) == i else (b" \xe2\x81\x87 " if i == self.unknown else None)) for i, t in enumerate(self.text)]
+        self.decoded = [bytes([back[i]]) if i in back else (t.replace(MARK, " ").encode() if self.usable.get(t) == i else (b" \xe2\x81\x87 " if i == self.unknown else None)) for i, t in enumerate(self.text)]
         return self
 
 
@@ -104,17 +103,17 @@ def load_model(path: str = MODEL) -> Pieces:
 def encode_bpe(unit: str, p: Pieces) -> list[int]:
     """Merge the best-ranked neighbouring pair (leftmost of equals) until none is a piece."""
     score, usable = p.score, p.usable
-    if len(unit) <= 24:
-        parts = list(unit)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = usable.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or score[found] > best):
-                    best, at = score[found], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    if len(unit) <= 32:
+        cost, parts = p.cost, list(unit)
+        pairs = [cost.get(x + y, _NEVER) for x, y in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < _NEVER:
+            i = pairs.index(best)  # the leftmost of equals
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = cost.get(parts[i - 1] + parts[i], _NEVER)
+            if i < len(pairs):
+                pairs[i] = cost.get(parts[i] + parts[i + 1], _NEVER)
     else:  # a heap of pairs over a linked list: n log n for units of any length
         text = list(unit)
         after, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
@@ -241,76 +240,118 @@ def encode_units(distinct: DataFrame, p: Pieces) -> DataFrame:
     return folded.select("unit", ids.alias("ids"))
 
 
+class _Memory(dict):
+    """Ids of words (a unit without its first mark) as int32 bytes; unknown words are encoded and remembered."""
+
+    def __init__(self, table: dict[str, bytes], pieces: Pieces) -> None:
+        super().__init__(table)
+        self.table, self.pieces = table, pieces
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = np.array(encode_unit(MARK + word, self.pieces), np.int32).tobytes()
+        return out
+
+    def trim(self) -> None:
+        if len(self) > len(self.table) + MEMORY:
+            self.clear()
+            self.update(self.table)
+
+
+def _words(text: str) -> list[str]:
+    """Units of a text, each without its first mark."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+        return [u[1:] for u in units(text)]
+    return text.split(" ")
+
+
 def frequent_units(docs: DataFrame, most: int = TABLE_UNITS) -> DataFrame:
-    """(unit, n): the ``most`` units that occur most; counted by task over the whole corpus, rare ones dropped as they overflow."""
+    """(unit): at most ``most`` of the units that occur most, those above the lowest power of two that keeps the bound.
+
+    Every task counts its whole texts and drops rare units as they overflow; the
+    threshold comes from a histogram of the counts, so nothing is sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                count.update(units(text or ""))
+                count.update(_words(text or ""))
                 if len(count) > MEMORY:  # lossy counting: what is left is still the frequent part
                     count = Counter({u: n for u, n in count.items() if n > 2})
-        rows = [(u, n) for u, n in count.most_common(2 * most) if len(u) <= LONG]
+        rows = [(MARK + u, n) for u, n in count.most_common(most) if n > 2 and len(u) < LONG]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["unit", "n"])
 
     counts = docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "unit").limit(most)
+    counts = _store.materialize(counts.withColumn("level", F.floor(F.log2("n")).cast("int")), "unit-counts")
+    least, total = 0, 0
+    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r.level):  # at most 64 rows
+        total += row["count"]
+        if total > most:
+            least = row.level + 1
+            break
+    return counts.where(F.col("level") >= least).select("unit")
 
 
 def encode(docs: DataFrame, model: str = MODEL, table_units: int = TABLE_UNITS) -> DataFrame:
     """(doc_id, ids) of every whole text."""
     spark = docs.sparkSession
     p = load_model(model)
-    words = _store.materialize(frequent_units(docs, table_units), "units")
-    table = {r.unit: r.ids for r in encode_units(words.select("unit"), p).toLocalIterator()}  # at most table_units rows
+    lattice = encode_units(frequent_units(docs, table_units), p)
+    table = {r.unit[1:]: np.array(r.ids, np.int32).tobytes() for r in lattice.toLocalIterator()}  # at most table_units rows
     shared = spark.sparkContext.broadcast((table, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pieces = shared.value
-        tail: dict[str, list[int]] = {}
+        known = _Memory(*shared.value)
+        get = known.__getitem__
         for batch in batches:
             data, offsets = tx.text_buffers(batch.column(1))
             for a, b in tx.slices(offsets):
-                flat: list[int] = []
-                ends = [0]
+                bodies = []
                 for i in range(a, b):
-                    for unit in units(data[offsets[i] : offsets[i + 1]].tobytes().decode()):
-                        ids = known.get(unit)
-                        if ids is None:
-                            ids = tail.get(unit)
-                            if ids is None:
-                                ids = tail[unit] = encode_unit(unit, pieces)
-                        flat += ids
-                    ends.append(len(flat))
-                    if len(tail) > MEMORY:
-                        tail.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+                    bodies.append(b"".join(map(get, _words(data[offsets[i] : offsets[i + 1]].tobytes().decode()))))
+                    known.trim()
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in bodies]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(bodies), np.int32)))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Adds ``text`` to rows with ``ids`` (kept: doc_id and ids)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load_model(model))
+    """Adds ``text`` to rows with ``ids`` (kept: doc_id and ids): gathers the bytes of all pieces at once."""
+    shared = encoded.sparkSession.sparkContext.broadcast(load_model(model).decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value._decoded
+        pieces = [x or b"" for x in shared.value]
+        blob = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.array([len(x) for x in pieces])
+        start = np.cumsum(size) - size
         for batch in batches:
-            lists = batch.column(1)
-            at = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))).tolist()
-            flat = [known[i] or b"" for i in lists.flatten().to_pylist()]
-            texts = [b"".join(flat[a:b]) for a, b in zip(at, at[1:])]
-            texts = [(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            count = pa.compute.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.concatenate(([0], np.cumsum(count)))
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            for a, b in tx.slices(at * 4):
+                ids = flat[at[a] : at[b]]
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(pieces)):
+                    raise IndexError("an id isn't in the vocabulary")
+                n = size[ids]
+                ends = np.concatenate(([0], np.cumsum(n)))
+                place = np.repeat(start[ids] - ends[:-1], n)
+                place += np.arange(ends[-1])
+                raw = blob[place].tobytes()
+                bounds = ends[at[a : b + 1] - at[a]].tolist()
+                parts = (raw[x:y] for x, y in zip(bounds, bounds[1:]))
+                texts = [(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in parts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def sentencepiece_query(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as text, joined by spaces) and text_sha256 of the text decoded from the ids."""
+    """doc_id, n_tokens, ids_hash (xxhash64 of the ids) and text_sha256 of the text decoded from the ids."""
     out = decode(encode(docs, model), model)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def sentencepiece_stage(docs: DataFrame, model: str = MODEL) -> DataFrame:
