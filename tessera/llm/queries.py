@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.oracles import SQL as SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,16 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": _op9,
     "op10_line_dedup": _op10,
 }
-
-_OP10 = """
-WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-x AS (SELECT doc_id, pos, lines[pos] AS line, translate(trim(lines[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM a)),
-k AS (SELECT key, max(doc_id) AS keeper FROM x WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-d AS (SELECT x.*, k.keeper IS NOT NULL AND k.keeper <> x.doc_id AS gone FROM x LEFT JOIN k USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM d GROUP BY doc_id
-"""
-
-SQL: dict[str, str] = {"op10_line_dedup": _OP10}

@@ -185,4 +185,4 @@ def export(archives: DataFrame, folder: str) -> None:
 def warc_query(pages: DataFrame) -> DataFrame:
     """Write a record for each page, read the archives back: the contract's digest of the records."""
     records = read_archives(write_archives(plan_records(pages)), with_payload=False)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
