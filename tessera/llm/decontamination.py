@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in lower
-case, so punctuation doesn't hide a copy.  The query set, the benchmark, is taken
+Words are runs of ASCII letters, digits and non-ASCII characters, in Unicode
+lower case, so neither punctuation nor capitals hide a copy.  The query set, the benchmark, is taken
 in blocks of at most ``BLOCK_GRAMS`` n-grams; each block is broadcast and meets
 every document (its size is proven by the block bound).  For a block:
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _store
@@ -43,10 +43,15 @@ _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def _folded() -> Column:
+    """The text in lower case, beyond A-Z too; no word is split or joined by it."""
+    return F.lower(F.col("text").cast("string")).alias("text")
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[tx.Words, np.ndarray]:
     """Words by the rule above: every other byte is made a space."""
     words = tx.Words(np.where(_BREAK[data], np.uint8(32), data), offsets)
-    return words, words.hashes(lower=True)
+    return words, words.hashes()
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -85,7 +90,7 @@ def _item_table(benchmark: DataFrame) -> DataFrame:
             bodies = [values[f : f + c].tobytes() for f, c in zip(words.first.tolist(), words.count.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), pa.array(words.count)], ["item_id", "words", "n"])
 
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), _folded())
     return rows.mapInArrow(run, "item_id long, words binary, n long").where(F.col("n") >= GRAM + 2).distinct()
 
 
@@ -111,7 +116,7 @@ def _gram_counts(docs: DataFrame, grams: np.ndarray) -> DataFrame:
         hit = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(tx.signed(known[hit])), pa.array(count[hit])], ["gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(_folded()).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _seeds(items: DataFrame, counts: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]], grams: np.ndarr
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "word_from", "word_to"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PAIRS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _folded()).mapInArrow(run, PAIRS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:

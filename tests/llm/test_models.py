@@ -19,6 +19,10 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(100, 2), (101, 5)}
     assert {r.doc_id: (r.score, r.word_from, r.word_to) for r in got}[100] == (1.0, 80, 110)
+    accents = [(0, "été à l'école où garçons ñandú œuvre öffnen straße naïf")]
+    shouted = spark.createDataFrame([(1, "x y " + accents[0][1].replace("ß", "ss").upper() + " z")], "doc_id long, text string")
+    (hit,) = dc.leaks(shouted, spark.createDataFrame(accents, "item_id long, text string")).collect()
+    assert hit.score > 0.7
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
 
