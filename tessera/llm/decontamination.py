@@ -11,7 +11,8 @@ every document (its size is proven by the block bound).  For a block:
 3. a second narrow pass finds the seeds in each document, gathers those of one
    item that lie close together, and aligns the item with the text around them
    by local alignment (match +2, mismatch and gap -2).  A pair is a leak where
-   the score is at least ``least`` of a perfect copy's.
+   the score is at least ``least`` of a perfect copy's; long items are told from
+   chance by less, ``LONG`` of it and ``LONG_WORDS`` matched words' worth.
 
 Only n-gram counts of the block leave the corpus; texts are never shuffled.
 
@@ -35,6 +36,7 @@ from tessera.llm import _store
 from tessera.llm import _text as tx
 
 GRAM, COVER, LEAST = 3, 4, 0.5
+LONG, LONG_WORDS = 0.4, 10
 BLOCK_GRAMS = 200_000
 MATCH, MISS = 2, -2
 PAIRS = "doc_id long, item_id long, score double, word_from long, word_to long"
@@ -80,6 +82,11 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def needed(n_words: int, least: float) -> float:
+    """The score that makes a leak of an item of n_words."""
+    return MATCH * min(least * n_words, max(LONG * n_words, LONG_WORDS))
+
+
 def _item_table(benchmark: DataFrame) -> DataFrame:
     """(item_id, words): hashes of the words of each item, as binary."""
 
@@ -168,7 +175,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]], grams: np.ndarr
                         got = align(text, values[lo:hi])
                         if got[0] > best[0]:
                             best = (got[0], got[1] + lo - begin, got[2] + lo - begin)
-                    if best[0] >= least * MATCH * len(text):
+                    if best[0] >= needed(len(text), least):
                         rows.append((ids[a + doc].as_py(), name, best[0] / (MATCH * len(text)), best[1], best[2]))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

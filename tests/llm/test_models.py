@@ -41,3 +41,8 @@ def test_classifier_learns_and_scores_everything(spark):
     assert held and all(r.predicted == int(r.doc_id % 3 > 0) for r in held)
     alone = qc.quality_query(frame, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert len(alone) == 304
+
+
+def test_needed_score_falls_with_length():
+    share = [dc.needed(n, 0.5) / (dc.MATCH * n) for n in (6, 14, 20, 22, 25, 60)]
+    assert share[:3] == [0.5] * 3 and share[3] == 10 / 22 and share[4:] == [0.4] * 2
