@@ -65,13 +65,17 @@ def shingle_sets(words: tx.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return gram, np.searchsorted(doc, np.arange(len(words.count) + 1))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES x DEPTH minima of 32 bits."""
+def signature(shingles: np.ndarray) -> bytes:
+    """The low 16 bits of TREES x DEPTH minima of 32 bits: all low bytes, then all high bytes.
+
+    Fewer bits let two different minima agree with a chance of 1 in 65536, which
+    can add candidates and never loses one.
+    """
     out = np.full(TREES * DEPTH, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(shingles), 512):
         part = shingles[i : i + 512, None] * _FACTOR + _SHIFT
         np.minimum(out, (part >> np.uint64(32)).astype(np.uint32).min(axis=0), out=out)
-    return out
+    return out.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -86,29 +90,31 @@ def sign(docs: DataFrame) -> DataFrame:
                 count = np.diff(at)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(tx.mix(gram ^ np.uint64(seed)), dtype=np.uint64))) for seed in (0x1234567, 0x89ABCDEF01)]
                 f1, f2 = (tx.mix((s[at[1:]] - s[at[:-1]]) + count.astype(np.uint64)) for s in sums)
-                sigs = [signature(gram[at[i] : at[i + 1]]).tobytes() if count[i] else None for i in range(b - a)]
+                sigs = [signature(gram[at[i] : at[i + 1]]) if count[i] else None for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count), pa.array(tx.signed(f1)), pa.array(tx.signed(f2)), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def _tree_rows(classes: DataFrame) -> DataFrame:
-    """(tree, rep, s1 .. sDEPTH): one row for each class and tree; s_k is a hash of the first k minima."""
+    """(rep, key, r{SHALLOW + 1} .. r{DEPTH}): one row for each class and tree.
+
+    key is a hash of the tree and its first SHALLOW minima, r_k its k-th minimum.
+    """
+    rest = [f"r{k}" for k in range(SHALLOW + 1, DEPTH + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep = batch.column(0).to_numpy(zero_copy_only=False)
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
-            h = np.zeros(raw.shape[:2], np.uint64)
-            keys = []
-            for k in range(DEPTH):
+            halves = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 2, TREES, DEPTH).astype(np.uint16)
+            raw = halves[:, 0] | (halves[:, 1] << np.uint16(8))
+            h = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(rep), 1))
+            for k in range(SHALLOW):
                 h = tx.mix(h * np.uint64(0x9E3779B97F4A7C15) + raw[:, :, k] + np.uint64(k + 1))
-                if k >= SHALLOW - 1:
-                    keys.append(h.ravel())
-            tree = np.tile(np.arange(TREES, dtype=np.int32), len(rep))
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(np.repeat(rep, TREES)), *(pa.array(tx.signed(k)) for k in keys)], ["tree", "rep", *(f"s{k}" for k in range(SHALLOW, DEPTH + 1))])
+            minima = [pa.array(np.ascontiguousarray(raw[:, :, k]).ravel().view(np.int16)) for k in range(SHALLOW, DEPTH)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, TREES)), pa.array(tx.signed(h.ravel())), *minima], ["rep", "key", *rest])
 
-    return classes.select("rep", "sig").mapInArrow(run, "tree int, rep long, " + ", ".join(f"s{k} long" for k in range(SHALLOW, DEPTH + 1)))
+    return classes.select("rep", "sig").mapInArrow(run, "rep long, key long, " + ", ".join(f"{r} short" for r in rest))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     rows = _store.materialize(_tree_rows(classes), "forest")
     pairs = None
     for depth in range(SHALLOW, DEPTH + 1):
-        key = ["tree", f"s{depth}"]
+        key = ["key", *(f"r{k}" for k in range(SHALLOW + 1, depth + 1))]
         sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = _store.materialize(sizes, "regions")
         fit = rows.join(sizes.where(F.col("n") <= REGION).drop("n"), key)
@@ -148,8 +154,12 @@ def _chains(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _agreement(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, same): the pairs whose signatures and set sizes allow the threshold."""
-    side = classes.select("rep", "n_shingles", "sig")
+    """(a, b, same): the pairs whose signatures and set sizes allow the threshold.
+
+    Only the minima's low bytes travel to the pairs: by chance they agree more
+    often than whole minima, never less.
+    """
+    side = classes.select("rep", "n_shingles", F.substring("sig", 1, TREES * DEPTH).alias("low"))
     wide = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     p = percent / 100
     least = TREES * DEPTH * p - 5 * (TREES * DEPTH * p * (1 - p)) ** 0.5
@@ -157,7 +167,7 @@ def _agreement(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, TREES * DEPTH) for i in (2, 3))
+                left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for i in (2, 3))
                 same = (left == right).sum(axis=1)
                 keep = pa.array(same >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int32))], ["a", "b", "same"]).filter(keep)
