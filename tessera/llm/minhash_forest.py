@@ -17,7 +17,13 @@ connected component of each.
 3. Pairs whose signatures agree too little to reach the threshold (5 standard
    deviations) are dropped; first each class's most similar pair is verified on
    full sets, then every pair that still crosses two components.
-4. Components by repeated minimum labels with pointer jumping, as DataFrames.
+4. Splitting and chains only save work: all classes of regions that were crowded
+   at ``SHALLOW`` are joined exactly by prefixes of their rarest shingles
+   (``_prefixes``).  Each first meets the most central class of every shingle's
+   group, which links stars and dense crowds in linear time; then every pair
+   that still crosses two components is verified if the bounds on sizes, places
+   and common prefix shingles allow the threshold.
+5. Components by repeated minimum labels with pointer jumping, as DataFrames.
 
 Nothing is collected to the driver but counts that end the loops.
 
@@ -42,6 +48,8 @@ from tessera.llm import _text as tx
 
 TREES, SHALLOW, DEPTH = 16, 4, 10
 REGION, NEIGHBOURS = 24, 4
+#: Rows of a shingle's group that meet in one task, on either side.
+BLOCK = 64
 SHINGLE, PERCENT = 5, 85
 _rng = np.random.default_rng(8)
 _FACTOR = _rng.integers(0, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,10 +125,10 @@ def _tree_rows(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "rep long, key long, " + ", ".join(f"{r} short" for r in rest))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of classes from the regions of all trees."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct candidate pairs (a < b) of classes from the regions of all trees; the classes (rep) of crowded regions, if any."""
     rows = _store.materialize(_tree_rows(classes), "forest")
-    pairs = None
+    pairs = crowd = None
     for depth in range(SHALLOW, DEPTH + 1):
         key = ["key", *(f"r{k}" for k in range(SHALLOW + 1, depth + 1))]
         sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -133,9 +141,10 @@ def candidates(classes: DataFrame) -> DataFrame:
         if depth == DEPTH or not crowded.take(1):
             break
         rows = _store.materialize(rows.join(crowded, key), "crowded")
+        crowd = rows.select("rep").distinct() if crowd is None else crowd
     if depth == DEPTH:
         pairs = pairs.unionByName(_chains(rows.join(crowded, key), key))
-    return pairs.distinct()
+    return pairs.distinct(), crowd
 
 
 def _chains(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -191,6 +200,74 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, mid, rest, last, at, gram): the rarest shingles of each set, of which two sets that reach the threshold share one.
+
+    Shingles are in the order of (count in these sets, hash).  at is the 1-based
+    place in the set, last the order of the prefix's last shingle, rest how many
+    shingles follow it; mid, the mean count, tells how central the set is.
+    Shingles of one set only keep their places but have no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, ident = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a in range(0, batch.num_rows, 256):
+                bodies = batch.column(2).slice(a, 256).to_pylist()
+                gram, n = np.frombuffer(b"".join(bodies), np.int64), np.array([len(x) // 8 for x in bodies])
+                columns = [np.repeat(x, n) for x in (rep[a : a + 256], ident[a : a + 256], n)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, gram)], ["rep", "ident", "n", "gram"])
+
+    grams = sets.where(F.octet_length("s") > 0).select("rep", F.xxhash64("s"), "s").mapInArrow(run, "rep long, ident long, n long, gram long")
+    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = grams.join(common, "gram").groupBy("rep", "ident", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    single = F.col("n") - F.size("g")
+    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    mid = (F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x.df) + single) / F.col("n")
+    cut = listed.where(length > single).select("rep", "n", mid.alias("mid"), (F.col("n") - length).alias("rest"), single.alias("single"), F.slice("g", F.lit(1), (length - single).cast("int")).alias("g"))
+    placed = cut.select("rep", "n", "mid", "rest", "single", F.element_at("g", -1).alias("last"), F.posexplode("g").alias("i", "x"))
+    return placed.select("rep", "n", "mid", "rest", "last", (F.col("single") + F.col("i") + 1).alias("at"), F.col("x.gram").alias("gram"))
+
+
+def _labelled(prefixes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    labels = components(links, tag).withColumnRenamed("node", "rep")
+    return prefixes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows whose shingle's group holds more than one component, with the number of blocks of the group."""
+    groups = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    return rows.join(groups.where("low < high").select("gram", "blocks"), "gram")
+
+
+def _exact_rest(links: DataFrame, sets: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """links and those found among the classes of crowd, so that no pair of them that reaches the threshold crosses components."""
+    prefixes = _store.materialize(_prefixes(sets.join(crowd, "rep", "left_semi").distinct(), percent), "prefixes")
+    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    # a pair's shingles in common are at least this share of both sizes
+    enough = lambda common: common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    rows = _mixed(_labelled(prefixes, links, "rest-labels"))
+    hubs = rows.groupBy("gram").agg(F.max(F.struct("mid", "rep", "n", "label")).alias("hub"))
+    met = rows.join(hubs, "gram").where((F.col("label") != F.col("hub.label")) & fits(F.col("n"), F.col("hub.n")))
+    met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+    links = _store.materialize(links.unionByName(_verify(met, sets, percent)), "hub-links")
+
+    rows = _store.materialize(_mixed(_labelled(prefixes, links, "hub-labels")), "mixed")
+    if not rows.take(1):
+        return links
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "rest", "last", "at", "label")]
+    left = rows.select("gram", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), *side("a"))
+    right = rows.select("gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
+    pairs = left.join(right, ["gram", "block"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")))
+    # in common are at most those before and at this place, and those after it
+    pairs = pairs.where(enough(F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))))
+    # and at most the common ones of the prefixes and what follows the prefix that ends first
+    follow = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    met = pairs.groupBy("rep_a", "rep_b", "n_a", "n_b", follow.alias("follow")).agg(F.count(F.lit(1)).alias("c")).where(enough(F.col("c") + F.col("follow")))
+    more = _verify(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), sets, percent)
+    return _store.materialize(links.unionByName(more), "rest-links")
+
+
 def components(links: DataFrame, tag: str = "labels") -> DataFrame:
     """(node, label) of the nodes that have links; label is the smallest node that is reachable.
 
@@ -217,9 +294,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = _store.materialize(classes, "classes")
     mine = signed.select(F.col("doc_id").alias("rep"), "f1", "f2", "sig")
     forest = _store.materialize(classes.join(mine, ["rep", "f1", "f2"]).select("rep", "f1", "f2", "n_shingles", "sig").dropDuplicates(["rep", "f1", "f2"]), "representatives")
-    near = _store.materialize(_agreement(candidates(forest), forest, percent), "near")
-
-    wanted = _store.materialize(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
+    pairs, crowd = candidates(forest)
+    near = _store.materialize(_agreement(pairs, forest, percent), "near")
+
+    wanted = near.select(F.explode(F.array("a", "b")).alias("rep"))
+    if crowd is not None:
+        crowd = _store.materialize(crowd, "crowd")
+        wanted = wanted.unionByName(crowd)
+    wanted = _store.materialize(wanted.distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +321,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     crossing = near.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a", "b")
     more = _verify(crossing, sets, percent)
     links = _store.materialize(links.unionByName(more), "all-links")
+    if crowd is not None:
+        links = _exact_rest(links, sets, crowd, percent)
     labels = _store.materialize(components(links).where("node <> label"), "components")
     of_class = _store.materialize(classes.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("component_id")), "class-components")
     big = signed.join(of_class, ["f1", "f2"], "left")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 
@@ -94,6 +95,43 @@ def test_crowded_regions(spark, monkeypatch):
     assert rows(run(frame(spark, docs)), *columns) == brute.op8(docs)
 
 
+def test_crowded_star_whose_centre_is_not_the_least_id(spark):
+    """Leaves reach 85 % with the centre only, not with one another."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    docs = [(100, " ".join(base))]
+    for i in [*range(100), *range(101, 200)]:
+        words = list(base)
+        for k in (20, 100, 180, 260):
+            words[k + rng.randrange(-15, 16)] = f"e{i}.{k}"
+        docs.append((i, " ".join(words)))
+    want = brute.op8(docs)
+    assert len({row[2] for row in want}) == 1
+    run, columns = query("op8")
+    assert rows(run(frame(spark, docs)), *columns) == want
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_exact_rest_of_a_crowd(spark, monkeypatch, cross):
+    """Random edits of one text: links, near misses and chains in one crowd, in blocks of three rows."""
+    from tessera.llm import minhash_forest as mf
+
+    monkeypatch.setattr(mf, "REGION", 2)
+    monkeypatch.setattr(mf, "BLOCK", 3)
+    if cross:  # without chains, the exact rest alone finds the links
+        monkeypatch.setattr(mf, "_chains", lambda rows, key: rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(90):
+        words = list(base)
+        for k in range(rng.randrange(1, 5)):
+            words[rng.randrange(150)] = f"e{rng.randrange(25)}"
+        docs.append((i, " ".join(words)))
+    run, columns = query("op8")
+    assert rows(run(frame(spark, docs)), *columns) == brute.op8(docs)
+
+
 @pytest.mark.parametrize("op", CASES)
 def test_empty_table_and_null_ids(spark, op):
     run, columns = query(op)
