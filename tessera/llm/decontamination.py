@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, in Unicode
 lower case, so neither punctuation nor capitals hide a copy.  The query set, the benchmark, is taken
@@ -6,10 +6,13 @@ in blocks of at most ``BLOCK_GRAMS`` n-grams; each block is broadcast and meets
 every document (its size is proven by the block bound).  For a block:
 
 1. a narrow pass counts the block's n-grams over the whole corpus;
-2. of each ``COVER`` consecutive n-grams of an item the rarest is a seed, so any
-   run of ``COVER + GRAM - 1`` unedited words holds one;
+2. a leak of M matched and E edited words scores 2 (M - E) and breaks into E + 1
+   runs at most, so it shares M - E - 1 pairs of neighbouring words with the
+   item.  An item's most frequent pairs are dropped, fewer than half of those
+   that any leak shares; the others are seeds, and any leak holds at least
+   the rest of that number of them, close together (``_asked``);
 3. a second narrow pass finds the seeds in each document, gathers those of one
-   item that lie close together, and aligns the item with the text around them
+   item that lie so close together, and aligns the item with the text around them
    by local alignment (match +2, mismatch and gap -2).  A pair is a leak where
    the score is at least ``least`` of a perfect copy's; long items are told from
    chance by less, ``LONG`` of it and ``LONG_WORDS`` matched words' worth.
@@ -17,7 +20,7 @@ every document (its size is proven by the block bound).  For a block:
 Only n-gram counts of the block leave the corpus; texts are never shuffled.
 
 Defined results: null or empty texts and null items match nothing; an item of
-fewer than ``GRAM`` + 2 words matches nothing (chance hits can't be told from
+fewer than ``FEWEST`` words matches nothing (chance hits can't be told from
 leaks); rows that repeat a doc_id give one pair with the best score; of equal
 scores the first place in the text; an empty benchmark or corpus gives no pairs;
 extra columns are ignored.
@@ -35,9 +38,11 @@ from pyspark.sql import functions as F
 from tessera.llm import _store
 from tessera.llm import _text as tx
 
-GRAM, COVER, LEAST = 3, 4, 0.5
+GRAM, FEWEST, LEAST = 2, 5, 0.5
 LONG, LONG_WORDS = 0.4, 10
 BLOCK_GRAMS = 200_000
+#: Pairs of a seed's place and an item that are held at once, but those of one document always are.
+EXPANDED = 1 << 20
 MATCH, MISS = 2, -2
 PAIRS = "doc_id long, item_id long, score double, word_from long, word_to long"
 
@@ -87,6 +92,13 @@ def needed(n_words: int, least: float) -> float:
     return MATCH * min(least * n_words, max(LONG * n_words, LONG_WORDS))
 
 
+def _asked(n_words: int, least: float) -> tuple[int, int]:
+    """(how many of an item's most frequent grams are no seeds, how many seeds each of its leaks holds at least)."""
+    shared = max(1, int(np.ceil(needed(n_words, least) / MATCH - 1e-9)) - 1)
+    dropped = (shared - 1) // 2
+    return dropped, shared - dropped
+
+
 def _item_table(benchmark: DataFrame) -> DataFrame:
     """(item_id, words): hashes of the words of each item, as binary."""
 
@@ -98,7 +110,7 @@ def _item_table(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), pa.array(words.count)], ["item_id", "words", "n"])
 
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), _folded())
-    return rows.mapInArrow(run, "item_id long, words binary, n long").where(F.col("n") >= GRAM + 2).distinct()
+    return rows.mapInArrow(run, "item_id long, words binary, n long").where(F.col("n") >= FEWEST).distinct()
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
@@ -126,21 +138,46 @@ def _gram_counts(docs: DataFrame, grams: np.ndarray) -> DataFrame:
     return docs.select(_folded()).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _seeds(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(gram, item_id): of each COVER consecutive n-grams of an item the rarest one, ties included."""
+def _seeds(items: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(gram, item_id): the grams of each item but the most frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words in zip(*batch.columns, strict=True):
-                g = _grams(np.frombuffer(words.as_buffer(), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(g)), pa.array(np.full(len(g), item.as_py())), pa.array(np.arange(len(g)))], ["gram", "item_id", "at"])
-
-    rows = items.select("item_id", "words").mapInArrow(run, "gram long, item_id long, at long").join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    order = Window.partitionBy("item_id").orderBy("at")
-    low = rows.withColumn("low", F.min("n").over(order.rowsBetween(0, COVER - 1)))
-    # a gram is a seed if it is the minimum of a window that starts at most COVER - 1 before it
-    starts = Window.partitionBy("item_id").orderBy("at").rowsBetween(-(COVER - 1), 0)
-    return low.withColumn("high", F.max("low").over(starts)).where((F.col("n") <= F.col("high")) & (F.col("n") > 0)).select("gram", "item_id").distinct()
+                w = np.frombuffer(words.as_buffer(), np.uint64)
+                g = _grams(w)
+                columns = [tx.signed(g), np.full(len(g), item.as_py()), np.arange(len(g)), np.full(len(g), _asked(len(w), least)[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "item_id", "at", "dropped"])
+
+    rows = items.select("item_id", "words").mapInArrow(run, "gram long, item_id long, at long, dropped long").join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = Window.partitionBy("item_id").orderBy(F.desc("n"), "gram", "at")
+    return rows.withColumn("i", F.row_number().over(order)).where((F.col("i") > F.col("dropped")) & (F.col("n") > 0)).select("gram", "item_id").distinct()
+
+
+def _close(first: np.ndarray, last: np.ndarray, slot: np.ndarray, where: np.ndarray, doc: np.ndarray, owner: np.ndarray, asked: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(doc, item, places) of the seeds that lie close enough together, asked[item] of them within reach[item] words."""
+    n = last[slot] - first[slot]
+    upto, begin = np.cumsum(n), 0
+    while begin < len(slot):
+        # whole documents, of about EXPANDED rows
+        end = int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + EXPANDED, "right"))
+        end = int(np.searchsorted(doc, doc[min(max(end, begin + 1), len(doc)) - 1], "right"))
+        k = n[begin:end]
+        row = np.repeat(np.arange(begin, end), k)
+        item = owner[np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k) + first[slot[row]]]
+        key = doc[row] * len(asked) + item
+        by = np.argsort(key, kind="stable")
+        key, place, item = key[by], where[row][by], item[by]
+        i = np.arange(len(key))
+        j = i + asked[item] - 1
+        i, j = i[j < len(key)], j[j < len(key)]
+        good = (key[i] == key[j]) & (place[j] - place[i] <= reach[item[i]])
+        inside = tx.covered(len(key), i[good], j[good] + 1)
+        key, place = key[inside], place[inside]
+        edges = [*np.flatnonzero(np.diff(key, prepend=-1)).tolist(), len(key)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(key[a]) // len(asked), int(key[a]) % len(asked), place[a:b]
+        begin = end
 
 
 def _leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]], grams: np.ndarray, owners: np.ndarray, least: float) -> DataFrame:
@@ -152,6 +189,7 @@ def _leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]], grams: np.ndarr
         texts, grams, owner = shared.value
         known, first = np.unique(grams, return_index=True)
         last = np.append(first[1:], len(grams))
+        asked, spread = (np.array(x) for x in ([_asked(len(t), least)[1] for _, t in texts], [2 * len(t) for _, t in texts]))
         for batch in batches:
             data, offsets = tx.text_buffers(batch.column(1))
             ids = batch.column(0)
@@ -161,15 +199,11 @@ def _leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]], grams: np.ndarr
                 found, at = tx.ngram_hashes(values, words.doc, GRAM)
                 slot = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 hits = np.flatnonzero(known[slot] == found)
-                near: dict[tuple[int, int], list[int]] = {}
-                for h in hits.tolist():
-                    where = int(at[h])
-                    for entry in range(first[slot[h]], last[slot[h]]):
-                        near.setdefault((int(words.doc[where]), int(owner[entry])), []).append(where)
-                for (doc, item), places in near.items():
+                where = at[hits]
+                for doc, item, places in _close(first, last, slot[hits], where, words.doc[where], owner, asked, spread):
                     (name, text), begin, end = texts[item], int(words.first[doc]), int(words.first[doc] + words.count[doc])
                     reach, best = 2 * len(text), (0, 0, 0)
-                    groups = np.split(np.array(places), np.flatnonzero(np.diff(places) > reach) + 1)
+                    groups = np.split(places, np.flatnonzero(np.diff(places) > reach) + 1)
                     for group in groups:
                         lo, hi = max(begin, int(group[0]) - reach), min(end, int(group[-1]) + GRAM + reach)
                         got = align(text, values[lo:hi])
@@ -204,7 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
             continue
         grams = np.unique(np.concatenate([_grams(w) for _, w in texts]))
         numbered = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, (_, w) in enumerate(texts)], "item_id long, words binary")
-        rows = [(r.gram, r.item_id) for r in _seeds(numbered, _store.materialize(_gram_counts(docs, grams), "grams")).toLocalIterator()]
+        rows = [(r.gram, r.item_id) for r in _seeds(numbered, _store.materialize(_gram_counts(docs, grams), "grams"), least).toLocalIterator()]
         if not rows:
             continue
         found = _leaks(docs, texts, np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows]), least)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tessera.llm import decontamination as dc
 from tessera.llm import quality_classifier as qc
 
@@ -27,6 +29,33 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
 
 
+def test_every_copy_that_scores_enough_is_found(spark):
+    """Copies without six, or even three, unedited words in a row."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([5, 8, 12, 20, 20, 40, 60] * 2)]
+    docs, want = [], set()
+    for item, text in items:
+        own = text.split(" ")
+        for k in (2, 3, 4, 5, 6):
+            for edit in ("replace", "insert"):
+                copy = []
+                for i, w in enumerate(own):
+                    last = i % k == k - 1
+                    copy += [w] if not last else ["edited"] if edit == "replace" else [w, "edited"]
+                text = [rng.choice(words) for _ in range(40)] + copy + [rng.choice(words) for _ in range(30)]
+                docs.append((len(docs), " ".join(text)))
+    names = {w: i for i, w in enumerate([*words, "edited"])}
+    number = lambda t: np.array([names[w] for w in t.split(" ")])
+    for doc, text in docs:
+        for item, other in items:
+            if dc.align(number(other), number(text))[0] >= dc.needed(len(other.split(" ")), dc.LEAST):
+                want.add((doc, item))
+    assert len(want) > 90
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_classifier_learns_and_scores_everything(spark):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["the", "river", "runs", "along", "a", "quiet", "valley"]) for _ in range(60))
