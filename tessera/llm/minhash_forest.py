@@ -51,6 +51,8 @@ REGION, NEIGHBOURS = 24, 4
 #: Rows of a shingle's group that meet in one task, on either side.
 BLOCK = 64
 SHINGLE, PERCENT = 5, 85
+#: The threshold of a pipeline's stage; the contract's 85 is the query's alone.
+STAGE_PERCENT = 80
 _rng = np.random.default_rng(8)
 _FACTOR = _rng.integers(0, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 62, TREES * DEPTH, dtype=np.uint64)
@@ -340,5 +342,5 @@ def minhash_query(docs: DataFrame) -> DataFrame:
 
 def minhash_stage(docs: DataFrame) -> DataFrame:
     """The documents of which one of each component stays."""
-    gone = near_duplicates(docs).where(~_kept()).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, STAGE_PERCENT).where(~_kept()).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

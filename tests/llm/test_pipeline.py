@@ -30,3 +30,18 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert set(got) - {302, 303} == clean, (set(got) - clean, clean - set(got))
     assert all(got[i] == texts[i] for i in clean if i < 150)
     assert [i for i in range(200, 208) if LINE in got[i]] == [207]
+
+
+def test_near_dedup_stage_takes_80_percent(spark, tmp_path):
+    """Pairs from 0.80 up to 0.85 go, a pair below 0.80 stays."""
+    docs = []
+    for pair, changed in enumerate((1, 2, 3, 4)):
+        base = [f"p{pair}w{i}" for i in range(104)]
+        copy = list(base)
+        for k in range(changed):
+            copy[10 + 20 * k] = "edited"
+        docs += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(copy))]
+    # of 100 shingles 5 change with each word: similarity 95/105, 90/110 = 0.818, 85/115, 80/120
+    near = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    out = near(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == {0, 2, 4, 5, 6, 7}
