@@ -200,3 +200,28 @@ def test_entry_and_oracles():
 def test_stored_values_survive_a_new_session(cpu, spark):
     again = TimeSeriesSession(spark, cpu.storage.root)
     assert values(again.sql("SELECT count(*) FROM cpu")) == [(10,)]
+
+
+def test_pid_estimate_query_takes_all_events(spark, tmp_path):
+    """Against a plain two-point fit over 4000 events."""
+    import math
+
+    from tessera.plans.queries import QUERIES
+
+    n = 4000
+    spark.range(n).selectExpr("id AS event_id", "timestamp_millis(1704067200000 + id * 1000) AS ts", "'click' AS event_type", "CAST(id % 90 AS DOUBLE) AS value", "id % 40 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    y = [100 * (1 - math.exp(-max(0, i - 0.06 * n) / (0.1 * n))) for i in range(n)]
+    head, tail = n // 20, n // 10  # the statement gives 0.05 for the first, and the last is 0.1
+    low, high = sum(y[:head]) / head, sum(y[-tail:]) / tail
+    cross = []
+    for level in (0.35, 0.85):
+        goal = low + level * (high - low)
+        i = next(i for i in range(n) if y[i + 1] >= goal > y[i])
+        cross.append(1000 * (i + (goal - y[i]) / (y[i + 1] - y[i])))
+    tau = (cross[1] - cross[0]) / (1.8971 - 0.4308)
+    theta = cross[0] - 0.4308 * tau
+    gain = high - low
+    kp = (tau + theta / 2) / (gain * 1.5 * theta)
+    kd = kp * tau * theta / (2 * tau + theta)
+    (got,) = QUERIES["pid_estimate"](spark, str(tmp_path)).collect()
+    assert abs(got.kp - kp) < 1e-3 and abs(got.kd - kd) < 1e-3 * kd
