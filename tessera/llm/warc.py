@@ -116,8 +116,8 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     keys = _store.materialize(pages.where("page_id is not null").select("page_id", F.unhex(F.sha1("html")).alias("sha")).where(F.octet_length("html") >= min_bytes), "digests")
     first = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = _store.materialize(first, "first")
-    later = keys.join(first, "sha").where("page_id <> first").groupBy("page_id").agg(F.first("first").alias("refers_to"))
-    return pages.join(later, "page_id", "left")
+    later = keys.join(first, "sha").where("page_id <> first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
+    return pages.withColumn("sha", F.unhex(F.sha1("html"))).join(later, ["page_id", "sha"], "left").drop("sha")
 
 
 def _pack(batches: Iterator[pa.RecordBatch], roll_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -192,3 +192,12 @@ def test_rule_ledger(spark):
     assert qr.apply_policy(entries, "v1").where("kept").count() >= qr.apply_policy(entries, "v3").where("kept").count()
     total = qr.rule_totals(entries).first()
     assert total.n == len(flags)
+
+
+def test_warc_keeps_each_payload_of_a_repeated_page(spark):
+    from tessera.llm import warc
+
+    pages = spark.createDataFrame([(3, "u", "A"), (7, "u", "A"), (7, "u", "B"), (None, "u", "A")], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(warc.plan_records(pages))).collect()
+    want = [(3, "response", None, b"A"), (7, "response", None, b"B"), (7, "revisit", 3, b""), (None, "response", None, b"A")]
+    assert sorted(((r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in got), key=str) == sorted(want, key=str)
