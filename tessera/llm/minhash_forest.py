@@ -7,22 +7,20 @@ connected component of each.
 
 1. Equal sets are one *class*, found by a 128-bit set fingerprint with partial
    sums; only the class with its smallest doc_id goes on.
-2. Each of ``TREES`` trees orders the classes by its own signature of ``DEPTH``
-   minima.  Regions are classes that share the first ``SHALLOW`` minima; a
-   region of more than ``REGION`` classes is split by one more minimum, and so
-   on down to ``DEPTH``: depth adapts to how crowded a region is.
-   Candidates are pairs inside a region of at most ``REGION`` classes; a region
-   that is crowded even at full depth pairs each class with its ``NEIGHBOURS``
-   next in the order of a hash, and with the region's least class.
+2. Each of ``TREES`` trees sorts the classes by its own signature of ``DEPTH``
+   minima.  A region is the classes that share the first ``SHALLOW`` minima.  In a
+   region of at most ``REGION`` classes all pairs are candidates; in a crowded one
+   each class meets its ``NEIGHBOURS`` next in the sorted order, those with the
+   longest common prefixes: depth adapts to how crowded a region is.
 3. Pairs whose signatures agree too little to reach the threshold (5 standard
    deviations) are dropped; first each class's most similar pair is verified on
    full sets, then every pair that still crosses two components.
-4. Splitting and chains only save work: all classes of regions that were crowded
-   at ``SHALLOW`` are joined exactly by prefixes of their rarest shingles
-   (``_prefixes``).  Each first meets the most central class of every shingle's
-   group, which links stars and dense crowds in linear time; then every pair
-   that still crosses two components is verified if the bounds on sizes, places
-   and common prefix shingles allow the threshold.
+4. Neighbours only save work.  In crowded regions central classes meet all
+   others, and then every class outside a region's largest component is compared
+   with the rest of the region on full sets (``_crowds``): linear for dense groups and stars, quadratic, in blocks, for
+   crowded classes that stay unlinked.  So a link is missed only if its classes
+   share no region of any tree (0.00001 for a pair just at 85 %) or by the bound
+   of 5 standard deviations.
 5. Components by repeated minimum labels with pointer jumping, as DataFrames.
 
 Nothing is collected to the driver but counts that end the loops.
@@ -47,9 +45,11 @@ from tessera.llm import _store
 from tessera.llm import _text as tx
 
 TREES, SHALLOW, DEPTH = 16, 4, 10
-REGION, NEIGHBOURS = 24, 4
-#: Rows of a shingle's group that meet in one task, on either side.
-BLOCK = 64
+_REST = [f"r{k}" for k in range(SHALLOW + 1, DEPTH + 1)]
+#: Classes of a region that gives all its pairs at once; neighbours that a class of a larger one meets in each tree's order.
+REGION, NEIGHBOURS = 24, 6
+#: About how many classes and shingles of a crowded region meet at a time, on either side, and how many shingles are compared at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 18, 4096
 SHINGLE, PERCENT = 5, 85
 #: The threshold of a pipeline's stage; the contract's 85 is the query's alone.
 STAGE_PERCENT = 80
@@ -111,57 +111,69 @@ def _tree_rows(classes: DataFrame) -> DataFrame:
 
     key is a hash of the tree and its first SHALLOW minima, r_k its k-th minimum.
     """
-    rest = [f"r{k}" for k in range(SHALLOW + 1, DEPTH + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep = batch.column(0).to_numpy(zero_copy_only=False)
-            halves = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 2, TREES, DEPTH).astype(np.uint16)
-            raw = halves[:, 0] | (halves[:, 1] << np.uint16(8))
-            h = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(rep), 1))
-            for k in range(SHALLOW):
-                h = tx.mix(h * np.uint64(0x9E3779B97F4A7C15) + raw[:, :, k] + np.uint64(k + 1))
+            raw = _minima(batch.column(1))
             minima = [pa.array(np.ascontiguousarray(raw[:, :, k]).ravel().view(np.int16)) for k in range(SHALLOW, DEPTH)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, TREES)), pa.array(tx.signed(h.ravel())), *minima], ["rep", "key", *rest])
+            columns = (pa.array(np.repeat(rep, TREES)), pa.array(tx.signed(_region_keys(raw).ravel())), *minima)
+            yield pa.RecordBatch.from_arrays(list(columns), ["rep", "key", *_REST])
 
-    return classes.select("rep", "sig").mapInArrow(run, "rep long, key long, " + ", ".join(f"{r} short" for r in rest))
+    return classes.select("rep", "sig").mapInArrow(run, "rep long, key long, " + ", ".join(f"{r} short" for r in _REST))
+
+
+def _minima(signatures: pa.Array) -> np.ndarray:
+    """Minima of signatures as (class, tree, depth)."""
+    halves = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, 2, TREES, DEPTH).astype(np.uint16)
+    return halves[:, 0] | (halves[:, 1] << np.uint16(8))
+
+
+def _region_keys(minima: np.ndarray) -> np.ndarray:
+    """A hash of the tree and its first SHALLOW minima, for each class and tree."""
+    h = np.tile(np.arange(1, TREES + 1, dtype=np.uint64), (len(minima), 1))
+    for k in range(SHALLOW):
+        h = tx.mix(h * np.uint64(0x9E3779B97F4A7C15) + minima[:, :, k] + np.uint64(k + 1))
+    return h
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each row with the next NEIGHBOURS rows of its region, from rows in the order of their signatures."""
+    tail_key, tail_rep = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, rep = (np.concatenate((t, c.to_numpy(zero_copy_only=False))) for t, c in zip((tail_key, tail_rep), batch.columns, strict=True))
+        for step in range(1, NEIGHBOURS + 1):
+            x, y = rep[:-step], rep[step:]
+            near = (key[:-step] == key[step:]) & (np.arange(len(x)) + step >= len(tail_key))
+            x, y = x[near], y[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        tail_key, tail_rep = key[-NEIGHBOURS:], rep[-NEIGHBOURS:]
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct candidate pairs (a < b) of classes from the regions of all trees; the classes (rep) of crowded regions, if any."""
-    rows = _store.materialize(_tree_rows(classes), "forest")
-    pairs = crowd = None
-    for depth in range(SHALLOW, DEPTH + 1):
-        key = ["key", *(f"r{k}" for k in range(SHALLOW + 1, depth + 1))]
-        sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sizes = _store.materialize(sizes, "regions")
-        fit = rows.join(sizes.where(F.col("n") <= REGION).drop("n"), key)
-        members = fit.groupBy(*key).agg(F.sort_array(F.collect_list("rep")).alias("m"))
-        own = members.select(F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.filter("m", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
-        pairs = own if pairs is None else pairs.unionByName(own)
-        crowded = sizes.where(F.col("n") > REGION).drop("n")
-        if depth == DEPTH or not crowded.take(1):
-            break
-        rows = _store.materialize(rows.join(crowded, key), "crowded")
-        crowd = rows.select("rep").distinct() if crowd is None else crowd
-    if depth == DEPTH:
-        pairs = pairs.unionByName(_chains(rows.join(crowded, key), key))
-    return pairs.distinct(), crowd
-
-
-def _chains(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Neighbour pairs in regions that stay crowded at full depth: by slot of a hash, so that no task holds a region.
-
-    Each class meets the region's least class, and its next ones inside a slot
-    of about 64 classes.
+    """Distinct candidate pairs (a < b) of classes; (rep, key, size) of the crowded regions' classes, if any.
+
+    A region of at most REGION classes gives all its pairs.  Crowded regions are
+    put in the order of the whole signature by a range partitioning that may cut
+    a region anywhere, and each class meets its next NEIGHBOURS in that order:
+    those with the longest common prefixes.  The other pairs of a crowded region
+    are left to ``_crowds``.
     """
-    counted = rows.groupBy(*key).agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n"))
-    joined = rows.join(_store.materialize(counted, "crowds"), key)
-    slot = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / 64))
-    members = joined.groupBy(*key, slot.alias("slot")).agg(F.sort_array(F.collect_list("rep")).alias("m"))
-    near = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, NEIGHBOURS), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    chain = members.select(F.explode(near).alias("p")).select("p.a", "p.b")
-    return chain.unionByName(joined.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+    rows = _store.materialize(_tree_rows(classes), "forest")
+    sizes = _store.materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "regions")
+    fit = rows.select("key", "rep").join(sizes.where(F.col("size") <= REGION).select("key"), "key")
+    members = fit.groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
+    each = F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = members.select(F.explode(F.flatten(each)).alias("p")).select("p.a", "p.b")
+    crowded = sizes.where(F.col("size") > REGION)
+    if not crowded.take(1):
+        return pairs.distinct(), None
+    crowded = _store.materialize(rows.join(crowded, "key"), "crowded")
+    order = ["key", *_REST, "rep"]
+    n = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = crowded.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    near = ordered.select("key", "rep").mapInArrow(_neighbours, "a long, b long")
+    return pairs.unionByName(near).distinct(), crowded.select("rep", "key", "size")
 
 
 def _agreement(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -202,72 +214,113 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, mid, rest, last, at, gram): the rarest shingles of each set, of which two sets that reach the threshold share one.
+def _grow(links: DataFrame | None, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """links and those among the pairs near (a, b, same) that join components.
 
-    Shingles are in the order of (count in these sets, hash).  at is the 1-based
-    place in the set, last the order of the prefix's last shingle, rest how many
-    shingles follow it; mid, the mean count, tells how central the set is.
-    Shingles of one set only keep their places but have no row.
+    Each class's most similar pair is verified first: that joins most of a crowd
+    with one comparison for each class; then all pairs that still cross.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rep, ident = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a in range(0, batch.num_rows, 256):
-                bodies = batch.column(2).slice(a, 256).to_pylist()
-                gram, n = np.frombuffer(b"".join(bodies), np.int64), np.array([len(x) // 8 for x in bodies])
-                columns = [np.repeat(x, n) for x in (rep[a : a + 256], ident[a : a + 256], n)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, gram)], ["rep", "ident", "n", "gram"])
-
-    grams = sets.where(F.octet_length("s") > 0).select("rep", F.xxhash64("s"), "s").mapInArrow(run, "rep long, ident long, n long, gram long")
-    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = grams.join(common, "gram").groupBy("rep", "ident", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    single = F.col("n") - F.size("g")
-    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    mid = (F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x.df) + single) / F.col("n")
-    cut = listed.where(length > single).select("rep", "n", mid.alias("mid"), (F.col("n") - length).alias("rest"), single.alias("single"), F.slice("g", F.lit(1), (length - single).cast("int")).alias("g"))
-    placed = cut.select("rep", "n", "mid", "rest", "single", F.element_at("g", -1).alias("last"), F.posexplode("g").alias("i", "x"))
-    return placed.select("rep", "n", "mid", "rest", "last", (F.col("single") + F.col("i") + 1).alias("at"), F.col("x.gram").alias("gram"))
-
-
-def _labelled(prefixes: DataFrame, links: DataFrame, tag: str) -> DataFrame:
-    labels = components(links, tag).withColumnRenamed("node", "rep")
-    return prefixes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows whose shingle's group holds more than one component, with the number of blocks of the group."""
-    groups = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    return rows.join(groups.where("low < high").select("gram", "blocks"), "gram")
-
-
-def _exact_rest(links: DataFrame, sets: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
-    """links and those found among the classes of crowd, so that no pair of them that reaches the threshold crosses components."""
-    prefixes = _store.materialize(_prefixes(sets.join(crowd, "rep", "left_semi").distinct(), percent), "prefixes")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    # a pair's shingles in common are at least this share of both sizes
-    enough = lambda common: common * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    rows = _mixed(_labelled(prefixes, links, "rest-labels"))
-    hubs = rows.groupBy("gram").agg(F.max(F.struct("mid", "rep", "n", "label")).alias("hub"))
-    met = rows.join(hubs, "gram").where((F.col("label") != F.col("hub.label")) & fits(F.col("n"), F.col("hub.n")))
-    met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-    links = _store.materialize(links.unionByName(_verify(met, sets, percent)), "hub-links")
-
-    rows = _store.materialize(_mixed(_labelled(prefixes, links, "hub-labels")), "mixed")
-    if not rows.take(1):
+    rank = F.struct(F.col("same"), -F.col("a"), -F.col("b"))
+    ends = near.select(F.explode(F.array("a", "b")).alias("x"), rank.alias("r")).groupBy("x").agg(F.max("r").alias("r"))
+    best = ends.select((-F.col("r.col2")).alias("a"), (-F.col("r.col3")).alias("b")).distinct()
+    found = _verify(best, sets, percent)
+    links = _store.materialize(found if links is None else links.unionByName(found), "links")
+    labels = components(links, "first-labels")
+    ends = near.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    crossing = ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return _store.materialize(links.unionByName(_verify(crossing, sets, percent)), "all-links")
+
+
+def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame | None:
+    """The rows of regions that hold more than one component: with their component, and the region's largest (main); None if there are none."""
+    labels = components(links, "crowd-labels").withColumnRenamed("node", "rep")
+    rows = _store.materialize(rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "crowd-rows")
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = F.max(F.struct("n", "label"))["label"].alias("main")
+    mixed = _store.materialize(counts.groupBy("key").agg(main, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "mixed")
+    return rows.join(mixed, "key") if mixed.take(1) else None
+
+
+def _meet(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Links that join the components of two blocks of (rep, label, s): a spanning forest of the pairs that reach the threshold."""
+    grams, owner, n = [], [], []
+    for side in (left, right):
+        bodies = side["s"].to_pylist()
+        n.append(np.array([len(x) // 8 for x in bodies]))
+        grams.append(np.frombuffer(b"".join(bodies), np.uint64))
+        owner.append(np.repeat(np.arange(len(bodies)), n[-1]))
+    shared = np.intersect1d(*grams)
+    common = np.zeros((len(n[0]), len(n[1])), np.float32)
+    place = [np.minimum(np.searchsorted(shared, g), max(len(shared) - 1, 0)) for g in grams]
+    found = [shared[p] == g if len(shared) else np.zeros(0, bool) for p, g in zip(place, grams, strict=True)]
+    for begin in range(0, len(shared), COLUMNS):
+        dense = []
+        for p, f, o, size in zip(place, found, owner, n, strict=True):
+            here = np.flatnonzero(f & (p >= begin) & (p < begin + COLUMNS))
+            dense.append(np.zeros((len(size), COLUMNS), np.float32))
+            dense[-1][o[here], p[here] - begin] = 1
+        common += dense[0] @ dense[1].T
+    common = common.astype(np.int64)
+    union = n[0][:, None] + n[1][None, :] - common
+    reps, labels = ([side[c].to_numpy() for side in (left, right)] for c in ("rep", "label"))
+    linked = (100 * common >= percent * union) & (union > 0) & (labels[0][:, None] != labels[1][None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        x, y = find(int(labels[0][i])), find(int(labels[1][j]))
+        if x != y:
+            root[x] = y
+            out.append(sorted((int(reps[0][i]), int(reps[1][j]))))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _crowds(links: DataFrame, sets: DataFrame, crowded: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """links, and those among the classes of crowded regions: no pair of one region that reaches the threshold crosses components.
+
+    Twice, each class meets the most central class of each of its regions (the
+    one whose regions hold most classes; then the most central one outside the
+    largest component), which joins stars and dense crowds in linear time.  Then
+    the classes outside a region's largest component meet all others of the
+    region, in blocks that hold a bounded number of classes and shingles on
+    either side; a pair of blocks returns no more links than join components.
+    """
+    centre = _store.materialize(crowded.groupBy("rep").agg(F.sum("size").alias("centre")), "centre")
+    mine = crowded.select("rep", "key").join(centre, "rep")
+    for outside in (False, True):
+        rows = _mixed(mine, links)
+        if rows is None:
+            return links
+        pool = rows.where("label <> main") if outside else rows
+        hubs = pool.groupBy("key").agg(F.max(F.struct("centre", "rep", "label")).alias("hub"))
+        met = rows.join(_store.materialize(hubs, "hubs"), "key").where(F.col("label") != F.col("hub.label"))
+        met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+        near = _store.materialize(_agreement(met, classes, percent), "hub-pairs")
+        links = _store.materialize(links.unionByName(_verify(near, sets, percent)), "hub-links")
+
+    rows = _mixed(mine, links)
+    if rows is None:
         return links
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "rest", "last", "at", "label")]
-    left = rows.select("gram", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), *side("a"))
-    right = rows.select("gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("b"))
-    pairs = left.join(right, ["gram", "block"]).where((F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")))
-    # in common are at most those before and at this place, and those after it
-    pairs = pairs.where(enough(F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))))
-    # and at most the common ones of the prefixes and what follows the prefix that ends first
-    follow = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
-    met = pairs.groupBy("rep_a", "rep_b", "n_a", "n_b", follow.alias("follow")).agg(F.count(F.lit(1)).alias("c")).where(enough(F.col("c") + F.col("follow")))
-    more = _verify(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), sets, percent)
-    return _store.materialize(links.unionByName(more), "rest-links")
+    rows = _store.materialize(rows.join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("n")), "rep"), "rest")
+    blocks = lambda which: F.ceil(F.greatest(F.count(which) / BLOCK, F.sum(F.when(which.isNotNull(), F.col("n"))) / BLOCK_SHINGLES)).cast("int")
+    outer = F.when(F.col("label") != F.col("main"), F.col("rep"))
+    sizes = _store.materialize(rows.groupBy("key").agg(blocks(outer).alias("n_i"), blocks(F.col("rep")).alias("n_j")), "blocks")
+    rows = rows.join(sizes, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    slot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    left = rows.where("label <> main").select("key", "rep", "label", slot("n_i").alias("i"), every("n_j").alias("j"))
+    right = rows.select("key", "rep", "label", slot("n_j").alias("j"), every("n_i").alias("i"))
+    own = ("key", "i", "j", "rep", "label", "s")
+    # new names for the same columns: both sides stem from one table
+    left, right = (side.join(sets, "rep").select(*own).toDF(*own).groupBy("key", "i", "j") for side in (left, right))
+    found = left.cogroup(right).applyInArrow(lambda x, y: _meet(x, y, percent), "a long, b long")
+    return _store.materialize(links.unionByName(found), "rest-links")
 
 
 def components(links: DataFrame, tag: str = "labels") -> DataFrame:
@@ -296,13 +349,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = _store.materialize(classes, "classes")
     mine = signed.select(F.col("doc_id").alias("rep"), "f1", "f2", "sig")
     forest = _store.materialize(classes.join(mine, ["rep", "f1", "f2"]).select("rep", "f1", "f2", "n_shingles", "sig").dropDuplicates(["rep", "f1", "f2"]), "representatives")
-    pairs, crowd = candidates(forest)
+    pairs, crowded = candidates(forest)
     near = _store.materialize(_agreement(pairs, forest, percent), "near")
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("rep"))
-    if crowd is not None:
-        crowd = _store.materialize(crowd, "crowd")
-        wanted = wanted.unionByName(crowd)
+    if crowded is not None:
+        wanted = wanted.unionByName(crowded.select("rep"))
     wanted = _store.materialize(wanted.distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
 
@@ -314,17 +366,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([gram[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["rep", "s"])
 
     sets = _store.materialize(texts.mapInArrow(run, "rep long, s binary"), "sets")
-    # each class's most similar pair first: it joins most of a crowd with one comparison for each class
-    rank = F.struct(F.col("same"), -F.col("a"), -F.col("b"))
-    ends = near.select(F.explode(F.array("a", "b")).alias("x"), rank.alias("r")).groupBy("x").agg(F.max("r").alias("r"))
-    best = ends.select((-F.col("r.col2")).alias("a"), (-F.col("r.col3")).alias("b")).distinct()
-    links = _store.materialize(_verify(best, sets, percent), "links")
-    labels = components(links, "first-labels")
-    crossing = near.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b"))).select("a", "b")
-    more = _verify(crossing, sets, percent)
-    links = _store.materialize(links.unionByName(more), "all-links")
-    if crowd is not None:
-        links = _exact_rest(links, sets, crowd, percent)
+    links = _grow(None, near, sets, percent)
+    if crowded is not None:
+        links = _crowds(links, sets, crowded, forest, percent)
     labels = _store.materialize(components(links).where("node <> label"), "components")
     of_class = _store.materialize(classes.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("component_id")), "class-components")
     big = signed.join(of_class, ["f1", "f2"], "left")

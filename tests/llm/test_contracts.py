@@ -118,8 +118,8 @@ def test_exact_rest_of_a_crowd(spark, monkeypatch, cross):
 
     monkeypatch.setattr(mf, "REGION", 2)
     monkeypatch.setattr(mf, "BLOCK", 3)
-    if cross:  # without chains, the exact rest alone finds the links
-        monkeypatch.setattr(mf, "_chains", lambda rows, key: rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+    if cross:  # without neighbours, hubs and the rest in blocks alone find the links
+        monkeypatch.setattr(mf, "_neighbours", lambda batches: iter(()))
     rng = random.Random(4)
     base = [f"w{i}" for i in range(150)]
     docs = []
