@@ -48,12 +48,16 @@ class Plan:
     words: bool
 
     def values(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit elements of some documents and the n + 1 offsets of these."""
+        """Elements of some documents (bytes, or words as 64-bit hashes) and the n + 1 offsets of these."""
         if not self.words:
-            return tx.BYTE_VALUE[data], offsets
+            return data, offsets
         w = tx.Words(data, offsets)
         return w.hashes(), np.append(w.first, len(w.start))
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """What ``range_hash`` takes for these elements."""
+        return tx.prefix_sums(values) if self.words else tx.byte_sums(values)
+
 
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours: block-wise running minima from both sides."""
@@ -89,9 +93,9 @@ def find_segments(values: np.ndarray, offsets: np.ndarray, plan: Plan) -> dict[s
         if n < plan.length:
             continue
         own = values[start:end]
-        sums = tx.prefix_sums(own)
+        sums = plan.sums(own)
         grams = np.arange(n - plan.gram + 1)
-        key = tx.range_hash(sums, grams, grams + plan.gram)
+        key = tx.range_hash(sums, grams, grams + plan.gram) if plan.words else tx.gram_order(own, plan.gram)
         packed = (key & ~np.uint64((1 << _PLACE) - 1)) | grams.astype(np.uint64)
         anchor = (_sliding_minimum(packed, plan.length - plan.gram + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
         doc = np.searchsorted(offsets[a + 1 : b + 1] - start, np.arange(n), "right")
@@ -250,7 +254,7 @@ def solve(bodies: DataFrame, plan: Plan, sort_shard: Callable[[list[bytes], np.n
             key, ctx, n, least, _, run, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:7])
             for i in range(batch.num_rows):
                 raw = np.frombuffer(batch.column(7)[i].as_buffer(), np.uint64 if plan.words else np.uint8)
-                sums = tx.prefix_sums(raw if plan.words else tx.BYTE_VALUE[raw])
+                sums = plan.sums(raw)
                 part = (at[i] - np.arange(run[i])) // step  # windows by the distance of their anchor
                 first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                 count = np.diff(np.append(first, run[i]))

@@ -51,7 +51,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     solid = kind[start] != 0 if len(start) else np.zeros(0, bool)
     start, end = start[solid], end[solid]
     doc = np.searchsorted(offsets[1:], start, "right")
-    token = tx.range_hash(tx.prefix_sums(tx.BYTE_VALUE[tx.LOWER[data]]), start, end)
+    token = tx.range_hash(tx.byte_sums(tx.LOWER[data]), start, end)
     upper = np.concatenate(([0], np.cumsum((data >= 65) & (data <= 90))))
     digit = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
     n_upper, n_digit, size = upper[end] - upper[start], digit[end] - digit[start], end - start

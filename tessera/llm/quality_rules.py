@@ -54,7 +54,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in tx.slices(offsets):
             own, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             words = tx.Words(own, off)
-            sums = tx.prefix_sums(tx.BYTE_VALUE[own])
+            sums = tx.byte_sums(own)
             hashes = tx.range_hash(sums, words.start, words.end)
             solid = ~tx.IS_SPACE[own]
             # lines that hold a word, by document

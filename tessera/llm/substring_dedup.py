@@ -3,16 +3,18 @@
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  A word goes if a window of
 ``length`` words covers it whose sequence also starts in a document with a
 smaller doc_id; texts are judged as they came in.  ``_segments`` splits the
-candidate suffixes into groups of bounded size by prefix (an anchor gram, or the
-whole window where a gram is too common).  Each shard of groups gets a suffix
-tree: the intervals of its sorted suffixes, whose nodes of ``length`` words or
-more hold the repeats; a node passes its smallest doc_id to its leaves.
+candidate suffixes into groups of bounded size by prefix (an anchor gram, longer
+ones where a gram is too common, down to the whole window).  Each shard of groups
+gets a suffix tree; its internal nodes of ``length`` words or more are the
+repeats, and the suffixes below the shallowest of them start with the same
+window: their smallest doc_id keeps it.
 
 Defined results: a null text has no words; a text of fewer than ``length`` words
 loses nothing; rows that share a doc_id lose nothing to one another; rows without
 doc_id keep their words and take none from others; of equal sequences the smallest doc_id
 keeps its own; an empty table gives an empty result; extra columns are ignored.
-Words are told apart by 64-bit hashes.
+Words are told apart by hashes modulo 2**61 - 1, which two given words share with a
+chance of their length / 2**61.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ SHARD_BYTES = 4 << 20
 
 
 class SuffixTree:
-    """Suffix tree of sequences of 64-bit words, to ``depth`` words, as sorted suffixes and the intervals of their common prefixes.
+    """The deep part of the suffix tree of sequences of 64-bit words: its leaves in order, and its internal nodes of ``depth`` words or more.
 
-    An internal node is an interval [i, j) of neighbouring suffixes in the order
-    whose common prefixes are at least the node's depth.
+    ``order`` holds the suffixes (places in the joined sequences) from left to
+    right; node k spans the leaves order[lo[k] : hi[k]], which share depth[k]
+    words and no more, and hangs below node parent[k] (-1: a node that isn't deep).
+    Each sequence ends in a symbol of its own, so no shared words reach over an end.
     """
 
     def __init__(self, sequences: list[np.ndarray], depth: int) -> None:
@@ -46,45 +50,82 @@ class SuffixTree:
         words = np.concatenate([np.append(x, np.uint64(0)) for x in sequences])
         _, rank = np.unique(words, return_inverse=True)
         rank = rank.astype(np.int64) + len(sequences)
-        rank[self.starts + lengths - 1] = np.arange(len(sequences))  # ends differ from one another and from every word
+        rank[self.starts + lengths - 1] = np.arange(len(sequences))
         n, step = len(rank), 1
-        self.ranks = [(1, rank)]  # rank of each suffix by its first 1, 2, 4, ... words
-        while step < depth:
-            width = min(step, depth - step)
+        ranks = [(1, rank)]  # of each suffix by its first 1, 2, 4, ... words
+        while step < lengths.max():
             follow = np.full(n, -1, np.int64)
-            follow[: n - width] = rank[width:] if width < step else rank[step:]
-            joined = self.ranks[-1][1] * (n + len(sequences) + 2) + follow + 1
-            _, rank = np.unique(joined, return_inverse=True)
+            follow[: n - step] = rank[step:]
+            _, rank = np.unique(rank * (n + len(sequences) + 2) + follow + 1, return_inverse=True)
             rank = rank.astype(np.int64)
-            step += width
-            self.ranks.append((step, rank))
-        self.depth, self.order = depth, np.argsort(rank, kind="stable")
-        self.rank = rank
-
-    def deep_nodes(self) -> np.ndarray:
-        """The number of its node of ``depth`` words for each suffix; suffixes below the same node share their first words."""
-        return self.rank
-
-    def common_prefixes(self) -> np.ndarray:
-        """Common words (at most ``depth``) of each suffix in the order with the one before."""
+            step *= 2
+            ranks.append((step, rank))
+        self.order = np.argsort(rank, kind="stable")
+        self.shared = self._shared(ranks)
+        self._build(depth)
+
+    def _shared(self, ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Words that each leaf shares with the one to its left."""
         a, b = self.order[:-1], self.order[1:]
-        total = np.zeros(len(a), np.int64)
-        sizes = [s for s, _ in self.ranks]
-        for size, rank in reversed(self.ranks):
-            if size > 1 and size & (size - 1):
-                equal = rank[a] == rank[b]
-                total[equal] = size
-                continue
-            inside = (total < self.depth) & (np.maximum(a, b) + total < len(rank)) & (total != sizes[-1])
-            x, y = np.minimum(a + total, len(rank) - 1), np.minimum(b + total, len(rank) - 1)
-            total = np.where(inside & (rank[x] == rank[y]), total + size, total)
-        return np.concatenate(([0], np.minimum(total, self.depth)))
+        total, n = np.zeros(len(a), np.int64), len(self.order)
+        for size, rank in reversed(ranks):
+            x, y = a + total, b + total
+            inside = (x < n) & (y < n)
+            same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
+            total += size * same
+        return np.concatenate(([0], total))
+
+    def _build(self, least: int) -> None:
+        """Internal nodes from a scan of the leaves with a stack of those still open; leaves that share less close all of it."""
+        depth, lo, hi, parent = [], [], [], []
+        deep = np.flatnonzero(self.shared >= least)
+        values = self.shared[deep].tolist()
+        stack: list[tuple[int, int, list[int]]] = []  # depth, first leaf, children
+
+        def close(end: int, above: int) -> None:
+            """Close nodes deeper than ``above``; the last one closed becomes a child of what stays, or of a new node of depth ``above``."""
+            child, first = None, end
+            while stack and stack[-1][0] > above:
+                d, first, children = stack.pop()
+                if child is not None:
+                    children.append(child)
+                child = len(depth)
+                depth.append(d)
+                lo.append(first)
+                hi.append(end)
+                parent.append(-1)
+                for c in children:
+                    parent[c] = child
+            if above and (not stack or stack[-1][0] < above):
+                stack.append((above, first if child is not None else end - 1, []))
+            if child is not None and stack:
+                stack[-1][2].append(child)
+
+        before = -1
+        for at, value in zip(deep.tolist(), values, strict=True):
+            if at != before + 1:
+                close(before + 1, 0)
+            close(at, value)
+            before = at
+        close(before + 1, 0)
+        self.depth, self.lo, self.hi, self.parent = (np.array(x, np.int64) for x in (depth, lo, hi, parent))
+
+    def repeats(self) -> np.ndarray:
+        """The shallowest deep node above each suffix, which all suffixes with the same first words share; -1 if none is."""
+        top = np.flatnonzero(self.parent < 0)
+        node = np.full(len(self.order), -1, np.int64)
+        size = self.hi[top] - self.lo[top]
+        leaf = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.lo[top], size)
+        node[self.order[leaf]] = np.repeat(top, size)
+        return node
 
 
 def classes(bodies: list[bytes], runs: np.ndarray, length: int) -> np.ndarray:
-    """A number for each window of some segments: its node of ``length`` words in the shard's suffix tree."""
+    """A number for each window of some segments: its deep node in the shard's suffix tree, or one of its own."""
     tree = SuffixTree([np.frombuffer(b, np.uint64) for b in bodies], length)
-    node = tree.deep_nodes()
+    node = tree.repeats()
+    alone = np.flatnonzero(node < 0)
+    node[alone] = len(tree.depth) + np.arange(len(alone))
     return np.concatenate([node[s : s + r] for s, r in zip(tree.starts.tolist(), runs.tolist(), strict=True)])
 
 

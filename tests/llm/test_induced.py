@@ -55,3 +55,60 @@ def test_queue_spills_and_keeps_order():
     assert got.tolist() == [x for c in range(3) for i in range(c, 50, 3) for x in range(i, i + 5)]
     assert q.pop(0) is None
     q.close()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_tree_nodes(seed):
+    """Nodes against all word sequences that repeat and can go on in more than one way."""
+    from collections import defaultdict
+
+    from tessera.llm.substring_dedup import SuffixTree
+
+    rng = np.random.default_rng(seed)
+    sequences = [rng.integers(1, 3 + seed % 2, rng.integers(0, 40)).astype(np.uint64) for _ in range(6)]
+    tree = SuffixTree(sequences, 3)
+    joined = np.concatenate([np.append(x.astype(np.int64), -i) for i, x in enumerate(sequences, 1)])
+    end = np.flatnonzero(joined < 0)
+    places, follow = defaultdict(set), defaultdict(set)
+    for i in range(len(joined)):
+        for j in range(i + 3, end[np.searchsorted(end, i)] + 1):
+            places[tuple(joined[i:j].tolist())].add(i)
+            follow[tuple(joined[i:j].tolist())].add(int(joined[j]))
+    want = {(len(k), frozenset(v)) for k, v in places.items() if len(v) > 1 and len(follow[k]) > 1}
+    leaves = [frozenset(tree.order[a:b].tolist()) for a, b in zip(tree.lo, tree.hi, strict=True)]
+    assert set(zip(tree.depth.tolist(), leaves, strict=True)) == want and len(leaves) == len(want)
+    for k, up in enumerate(tree.parent.tolist()):
+        above = [m for m, leaf in enumerate(leaves) if leaves[k] < leaf]
+        assert up == (max(above, key=lambda m: tree.depth[m]) if above else -1)
+    node = tree.repeats()
+    for i in range(len(joined)):
+        key = tuple(joined[i : i + 3].tolist())
+        assert (node[i] >= 0) == (len(places.get(key, ())) > 1)
+        assert node[i] < 0 or set(np.flatnonzero(node == node[i]).tolist()) == places[key]
+
+
+def test_hashes_part_words_that_a_modulus_of_two_joins():
+    """The two Thue-Morse words of 4096 letters, which collide modulo 2**64 for every odd base."""
+    from tessera.llm import _text as tx
+
+    word = b"a"
+    for _ in range(12):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(word + b" " + other + b" " + word, np.uint8)
+    one, two, three = tx.Words(data, np.array([0, len(data)])).hashes()
+    assert one == three != two
+    prime, base, want = tx._PRIME, tx._BASE % tx._PRIME, 0
+    values = np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64)
+    for i, x in enumerate(tx.prefix_sums(values).tolist()):
+        assert x == want
+        want = (want + int(values[min(i, 49)]) * pow(base, i, prime)) % prime
+
+
+def test_words_of_long_texts_are_hashed_in_pieces(monkeypatch):
+    from tessera.llm import _text as tx
+
+    data = np.frombuffer(b"ab  cde f " * 50 + b"x" * 300 + b" y", np.uint8)
+    whole = tx.Words(data, np.array([0, len(data)])).hashes()
+    monkeypatch.setattr(tx, "SLICE_BYTES", 16)
+    assert (tx.Words(data, np.array([0, len(data)])).hashes() == whole).all()
