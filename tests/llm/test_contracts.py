@@ -175,10 +175,31 @@ def test_line_runs_levels(spark):
     for rows_ in batches:
         store.add(spark.createDataFrame(rows_, "doc_id long, text string"))
     assert {level: len(runs) for level, runs in store.levels.items() if runs} == {2: 1, 0: 1}
+    runs = [r for level in store.levels.values() for n in level for r in spark.table(n).select("h1", "h2").collect()]
+    assert len(runs) == len(set(runs)) == 23  # each key is in one run
+    batch = spark.table(store.levels[0][0])
+    plan = store.unseen(batch)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
     entries = {(r.n_docs, r.keeper) for r in store.entries().where("n_docs > 1").collect()}
     assert entries == {(10, 43), (5, 41), (5, 42)}
     fresh = spark.createDataFrame([(99, "line 1\nnever seen before")], "doc_id long, text string")
     assert [r.pos for r in store.unseen(ld.doc_lines(fresh, 3)).collect()] == [1]
+    store.close()
+
+
+def test_lines_go_by_row_and_documents_count_by_id(spark):
+    from tessera.llm import line_dedup as ld
+
+    shared = "a line that five documents share, long enough to count"
+    docs = [(i, f"{shared}\nown {i}") for i in range(5)]
+    docs += [(3, "UNIQUE CONTENT of the second row\nB1"), (3, f"x\n{shared}"), (2, docs[2][1]), (None, shared), (9, None)]
+    twice = "a line that one document holds five times over, in five rows"
+    docs += [(50, f"{twice}\n{i}") for i in range(5)]
+    got = ld.line_dedup_stage(frame(spark, docs).withColumn("lines", F.lit(7)).withColumn("__row", F.lit(8)))
+    want = [(3, "UNIQUE CONTENT of the second row\nB1"), (3, "x"), (2, "own 2"), (None, shared), (9, None), (4, docs[4][1])]
+    want += [(i, f"own {i}") for i in range(4)] + docs[-5:]
+    assert sorted((tuple(r) for r in got.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
+    assert {(r.lines, r["__row"]) for r in got.collect()} == {(7, 8)}
 
 
 def test_rule_ledger(spark):
