@@ -19,9 +19,9 @@ every document (its size is proven by the block bound).  For a block:
 
 Only n-gram counts of the block leave the corpus; texts are never shuffled.
 
-Defined results: null or empty texts and null items match nothing; an item of
-fewer than ``FEWEST`` words matches nothing (chance hits can't be told from
-leaks); rows that repeat a doc_id give one pair with the best score; of equal
+Defined results: null or empty texts and null or empty items match nothing; an item of
+fewer than ``FEWEST`` words, which occurs by chance anywhere, matches the texts
+that have its words and no others; rows that repeat a doc_id give one pair with the best score; of equal
 scores the first place in the text; an empty benchmark or corpus gives no pairs;
 extra columns are ignored.
 """
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _store
 from tessera.llm import _text as tx
+from tessera.llm._rows import row_hash, without
 
 GRAM, FEWEST, LEAST = 2, 5, 0.5
 LONG, LONG_WORDS = 0.4, 10
@@ -44,7 +45,7 @@ BLOCK_GRAMS = 200_000
 #: Pairs of a seed's place and an item that are held at once, but those of one document always are.
 EXPANDED = 1 << 20
 MATCH, MISS = 2, -2
-PAIRS = "doc_id long, item_id long, score double, word_from long, word_to long"
+PAIRS = "doc_id long, row long, item_id long, score double, word_from long, word_to long"
 
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -110,7 +111,26 @@ def _item_table(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), pa.array(words.count)], ["item_id", "words", "n"])
 
     rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), _folded())
-    return rows.mapInArrow(run, "item_id long, words binary, n long").where(F.col("n") >= FEWEST).distinct()
+    return rows.mapInArrow(run, "item_id long, words binary, n long").where("n > 0").distinct()
+
+
+def _short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Leak rows of the items of fewer than FEWEST words: the texts that have just the item's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tx.text_buffers(batch.column(2))
+            for a, b in tx.slices(offsets):
+                words, values = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                few = np.flatnonzero((words.count > 0) & (words.count < FEWEST))
+                bodies = [values[words.first[i] : words.first[i] + words.count[i]].tobytes() for i in few]
+                columns = (*(batch.column(i).take(pa.array(few + a)) for i in (0, 1)), pa.array(bodies, pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "row", "words"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text")).alias("row"), _folded())
+    texts = own.mapInArrow(run, "doc_id long, row long, words binary")
+    found = texts.join(items.select("item_id", "words", "n"), "words")
+    return found.select("doc_id", "row", "item_id", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("word_from"), F.col("n").alias("word_to"))
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
@@ -191,8 +211,8 @@ def _leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]], grams: np.ndarr
         last = np.append(first[1:], len(grams))
         asked, spread = (np.array(x) for x in ([_asked(len(t), least)[1] for _, t in texts], [2 * len(t) for _, t in texts]))
         for batch in batches:
-            data, offsets = tx.text_buffers(batch.column(1))
-            ids = batch.column(0)
+            data, offsets = tx.text_buffers(batch.column(2))
+            ids, row_ids = batch.column(0), batch.column(1)
             rows: list[tuple] = []
             for a, b in tx.slices(offsets):
                 words, values = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -210,25 +230,23 @@ def _leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]], grams: np.ndarr
                         if got[0] > best[0]:
                             best = (got[0], got[1] + lo - begin, got[2] + lo - begin)
                     if best[0] >= needed(len(text), least):
-                        rows.append((ids[a + doc].as_py(), name, best[0] / (MATCH * len(text)), best[1], best[2]))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "word_from", "word_to"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _folded()).mapInArrow(run, PAIRS)
+                        rows.append((ids[a + doc].as_py(), row_ids[a + doc].as_py(), name, best[0] / (MATCH * len(text)), best[1], best[2]))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "row", "item_id", "score", "word_from", "word_to"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text")).alias("row"), _folded()).mapInArrow(run, PAIRS)
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, item_id, score, word_from, word_to) of the documents that hold a benchmark item, exact or edited.
 
-    A contaminated document is one with a row; score is the share of a perfect
-    copy's alignment score, the words are counted in the document.
-    """
+def row_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, row, item_id, score, word_from, word_to) of the rows that hold a benchmark item, exact or edited."""
     spark = docs.sparkSession
     items = _store.materialize(_item_table(benchmark), "items")
+    short = items.where(F.col("n") < FEWEST)
+    out = _short_leaks(docs, short) if short.take(1) else None
+    items = items.where(F.col("n") >= FEWEST)
     total = items.agg(F.sum(F.col("n")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // BLOCK_GRAMS))
-    out = None
     for block in range(blocks if total else 0):
         part = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == block)
         texts: list[tuple[int, np.ndarray]] = []  # one block, bounded above
@@ -245,6 +263,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], PAIRS)
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, item_id, score, word_from, word_to) of the documents that hold a benchmark item, exact or edited.
+
+    A contaminated document is one with a row; score is the share of a perfect
+    copy's alignment score, the words are counted in the document.
+    """
+    out = row_leaks(docs, benchmark, least)
     top = F.max(F.struct("score", (-F.col("word_from")).alias("neg"), "word_to")).alias("m")
     return out.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", F.col("m.score").alias("score"), (-F.col("m.neg")).alias("word_from"), F.col("m.word_to").alias("word_to"))
 
@@ -255,6 +283,10 @@ def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows that hold no benchmark item.
+
+    Null and empty texts stay; rows without doc_id and rows that share one are
+    judged by their own text; extra columns, whatever their names, pass through;
+    an empty table gives an empty table.
+    """
+    return without(docs, _store.materialize(row_leaks(docs, benchmark).select("doc_id", "row").distinct(), "leaks"))

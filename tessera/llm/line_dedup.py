@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _store
+from tessera.llm._rows import packed, row_hash, same_row
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,11 +44,6 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _row(own: Column) -> Column:
-    """What tells rows of one doc_id apart; rows with the same id and text have the same lines and the same fate."""
-    return F.xxhash64(F.coalesce(own["text"], F.lit("")))
-
-
 def doc_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, row, pos, h1, h2, first) of the lines that are long enough, of rows with a doc_id; ``first`` marks a hash's first entry in its row.
 
@@ -62,8 +58,7 @@ def doc_lines(docs: DataFrame, min_chars: int) -> DataFrame:
         first = (i == 0) | (e["h1"] != before["h1"]) | (e["h2"] != before["h2"])
         return F.struct(e["h1"].alias("h1"), e["h2"].alias("h2"), e["pos"].alias("pos"), first.alias("first"))
 
-    own = F.struct("doc_id", "text")
-    keys = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _row(own).alias("row"), F.transform(split_lines(F.col("text")), line_key).alias("keys"))
+    keys = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text")).alias("row"), F.transform(split_lines(F.col("text")), line_key).alias("keys"))
     sorted_ = keys.select("doc_id", "row", F.sort_array(F.filter(F.transform("keys", entry), lambda e: e.isNotNull())).alias("own"))
     return sorted_.select("doc_id", "row", F.explode(F.transform("own", flag)).alias("e")).select("doc_id", "row", "e.pos", "e.h1", "e.h2", "e.first")
 
@@ -165,9 +160,7 @@ class LineRuns:
 def drop_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """(own, lines, kept): each row of docs as a struct, its lines, and those that are left without the dropped (doc_id, row, pos)."""
     by_row = dropped.groupBy(F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row")).agg(F.collect_set("pos").alias("gone"))
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
-    same = (F.col("own")["doc_id"].cast("long") == F.col("of_doc")) & (_row(F.col("own")) == F.col("of_row"))
-    joined = own.join(by_row, same, "left").withColumn("lines", split_lines(F.col("own")["text"]))
+    joined = packed(docs).join(by_row, same_row(), "left").withColumn("lines", split_lines(F.col("own")["text"]))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     left = F.transform(F.array_except(every, F.col("gone")), lambda i: F.get(F.col("lines"), i))
     return joined.select("own", "lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left).alias("kept"))

@@ -6,7 +6,7 @@ Jaccard similarity is at least ``percent`` / 100 are linked; the answer is the
 connected component of each.
 
 1. Equal sets are one *class*, found by a 128-bit set fingerprint with partial
-   sums; only the class with its smallest doc_id goes on.
+   sums; only the row with its smallest doc_id goes on.
 2. Each of ``TREES`` trees sorts the classes by its own signature of ``DEPTH``
    minima.  A region is the classes that share the first ``SHALLOW`` minima.  In a
    region of at most ``REGION`` classes all pairs are candidates; in a crowded one
@@ -26,8 +26,8 @@ connected component of each.
 Nothing is collected to the driver but counts that end the loops.
 
 Defined results: a null or empty text has no shingles and is linked with
-nothing; rows that share a doc_id and a set are one; rows that share a doc_id
-with different sets count as linked through that id; a null doc_id is returned
+nothing; rows are linked by their own texts, also where they share a doc_id, and
+a component is named by the smallest doc_id in it; a null doc_id is returned
 with a null component; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _store
 from tessera.llm import _text as tx
+from tessera.llm._rows import packed, row_hash, same_row, without
 
 TREES, SHALLOW, DEPTH = 16, 4, 10
 _REST = [f"r{k}" for k in range(SHALLOW + 1, DEPTH + 1)]
@@ -89,11 +90,11 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sig): set size, set fingerprint, and the signature as binary (null for an empty set)."""
+    """(doc_id, row, n_shingles, f1, f2, sig): set size, set fingerprint, and the signature as binary (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tx.text_buffers(batch.column(1))
+            data, offsets = tx.text_buffers(batch.column(2))
             for a, b in tx.slices(offsets):
                 own, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 gram, at = shingle_sets(tx.Words(own, off))
@@ -101,9 +102,10 @@ def sign(docs: DataFrame) -> DataFrame:
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(tx.mix(gram ^ np.uint64(seed)), dtype=np.uint64))) for seed in (0x1234567, 0x89ABCDEF01)]
                 f1, f2 = (tx.mix((s[at[1:]] - s[at[:-1]]) + count.astype(np.uint64)) for s in sums)
                 sigs = [signature(gram[at[i] : at[i + 1]]) if count[i] else None for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count), pa.array(tx.signed(f1)), pa.array(tx.signed(f2)), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                columns = (*(batch.column(i).slice(a, b - a) for i in (0, 1)), *map(pa.array, (count, tx.signed(f1), tx.signed(f2))), pa.array(sigs, pa.binary()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "row", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text")).alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def _tree_rows(classes: DataFrame) -> DataFrame:
@@ -341,22 +343,33 @@ def components(links: DataFrame, tag: str = "labels") -> DataFrame:
             return labels
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """(f1, f2, id, n_shingles, rep) of each distinct set: id is its smallest doc_id, rep a number of its own: id, unless another set has that."""
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = _store.materialize(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles")), "sets-of-rows")
+    shared = classes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("f1", "f2")).alias("first")).where("n > 1").select("id", "first")
+    joined = classes.join(_store.materialize(shared, "shared-ids"), "id", "left")
+    other = F.lit(-1) - F.shiftrightunsigned(F.xxhash64("f1", "f2"), 1)
+    rep = F.when(F.col("first").isNull() | (F.col("first") == F.struct("f1", "f2")), F.col("id")).otherwise(other)
+    return _store.materialize(joined.select("f1", "f2", "id", "n_shingles", rep.alias("rep")), "classes")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+    """(doc_id, row, n_shingles, component_id, component) of every row; component tells components apart that share their smallest doc_id."""
     signed = _store.materialize(sign(docs), "signed")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n"))
-    classes = _store.materialize(classes, "classes")
-    mine = signed.select(F.col("doc_id").alias("rep"), "f1", "f2", "sig")
-    forest = _store.materialize(classes.join(mine, ["rep", "f1", "f2"]).select("rep", "f1", "f2", "n_shingles", "sig").dropDuplicates(["rep", "f1", "f2"]), "representatives")
+    classes = _classes(signed)
+    mine = signed.select(F.col("doc_id").alias("id"), "row", "f1", "f2", "sig")
+    forest = classes.join(mine, ["id", "f1", "f2"]).dropDuplicates(["rep"]).select("rep", "id", "row", "n_shingles", "sig")
+    forest = _store.materialize(forest, "representatives")
     pairs, crowded = candidates(forest)
     near = _store.materialize(_agreement(pairs, forest, percent), "near")
 
     wanted = near.select(F.explode(F.array("a", "b")).alias("rep"))
     if crowded is not None:
         wanted = wanted.unionByName(crowded.select("rep"))
-    wanted = _store.materialize(wanted.distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    wanted = _store.materialize(forest.select("rep", "id", "row").join(wanted.distinct(), "rep", "left_semi"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), row_hash(F.col("text")).alias("row"), "text")
+    texts = texts.join(wanted, ["id", "row"]).select("rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,10 +382,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = _grow(None, near, sets, percent)
     if crowded is not None:
         links = _crowds(links, sets, crowded, forest, percent)
-    labels = _store.materialize(components(links).where("node <> label"), "components")
-    of_class = _store.materialize(classes.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("component_id")), "class-components")
-    big = signed.join(of_class, ["f1", "f2"], "left")
-    return big.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    labels = _store.materialize(components(links), "components")
+    named = labels.join(classes.select(F.col("rep").alias("node"), "id"), "node")
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    linked = named.join(least, "label").select(F.col("node").alias("rep"), F.col("label").alias("component"), "component_id")
+    own = classes.select("f1", "f2", "rep", "id").join(_store.materialize(linked, "linked"), "rep", "left")
+    of_class = own.select("f1", "f2", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
+    of_row = signed.drop("sig").join(_store.materialize(of_class, "class-components"), ["f1", "f2"], "left")
+    has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return of_row.select("doc_id", "row", "n_shingles", F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(has, F.col("component")).alias("component"))
 
 
 def _kept() -> Column:
@@ -381,10 +399,25 @@ def _kept() -> Column:
 
 def minhash_query(docs: DataFrame) -> DataFrame:
     """The contract's digest of ``near_duplicates``."""
-    return near_duplicates(docs).withColumn("kept", F.coalesce(_kept(), F.lit(True)))
+    return near_duplicates(docs).drop("row", "component").withColumn("kept", F.coalesce(_kept(), F.lit(True)))
 
 
 def minhash_stage(docs: DataFrame) -> DataFrame:
-    """The documents of which one of each component stays."""
-    gone = near_duplicates(docs, STAGE_PERCENT).where(~_kept()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of which one of each component stays: one of its smallest doc_id.
+
+    Rows are linked by their own texts, whether or not they share a doc_id; rows
+    without words or without doc_id stay; extra columns, whatever their names,
+    pass through; an empty table gives an empty table.
+    """
+    found = _store.materialize(near_duplicates(docs, STAGE_PERCENT).where("component is not null"), "near-rows")
+    first = found.where(_kept()).groupBy("component").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = _store.materialize(first.select("component", "first"), "several")  # components that have more than one row with their smallest id
+    kept = found.where(_kept()).join(several, "component")
+    gone = found.where(~_kept()).unionByName(kept.where("row <> first").drop("first"))
+    out = without(docs, _store.materialize(gone.select("doc_id", "row"), "gone"))
+    if not several.take(1):
+        return out
+    twins = kept.where("row = first").select(F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row")).distinct()
+    twins, rows = _store.materialize(twins, "twins"), packed(out)
+    once = rows.join(twins, same_row()).dropDuplicates(["of_doc", "of_row"]).select("own")
+    return rows.join(twins, same_row(), "left_anti").unionByName(once).select("own.*")

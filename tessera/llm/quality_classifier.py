@@ -19,7 +19,7 @@ or 1.0; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,20 +185,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
     return sparse.repartition(1).mapInArrow(solve, "ratio binary, weight binary, slope double, intercept double")
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, score) of every whole text; the model is two arrays of 2**BITS floats, and is broadcast."""
+def _scorer(docs: DataFrame, model: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """Scores of a column of texts; the model is two arrays of 2**BITS floats, and is broadcast."""
     row = model.first()
     ratio, weight = (np.frombuffer(bytes(x), np.float32) for x in (row.ratio, row.weight)) if row else (np.zeros(1 << BITS, np.float32),) * 2
     slope, intercept = (row.slope, row.intercept) if row else (0.0, 20.0)
     shared = docs.sparkSession.sparkContext.broadcast((ratio, weight))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(texts: pa.Array) -> np.ndarray:
         ratio, weight = shared.value
+        data, offsets = tx.text_buffers(texts)
+        z = [np.zeros(0)]
+        for a, b in tx.slices(offsets):
+            own = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            z.append(slope * margins(*own, ratio, weight) + intercept)
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(z), -30, 30)))
+
+    return scores
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(doc_id, score) of every whole text."""
+    scores = _scorer(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tx.text_buffers(batch.column(1))
-            for a, b in tx.slices(offsets):
-                z = slope * margins(*features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), ratio, weight) + intercept
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -211,6 +223,18 @@ def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject."""
-    gone = quality_query(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows whose own text the classifier doesn't reject; one narrow pass, nothing is joined.
+
+    Null and empty texts are scored like any other; rows without doc_id and rows
+    that share one are judged one by one; extra columns, whatever their names,
+    pass through; an empty table gives an empty table.
+    """
+    scores = _scorer(docs, _store.materialize(train(docs, labels), "model"))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(text)) >= THRESHOLD))
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # a name with a dot can't go through Arrow
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
