@@ -216,8 +216,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _grow(links: DataFrame | None, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """links and those among the pairs near (a, b, same) that join components.
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, label) after further links found (a, b): the components of the links between the components there are."""
+    if labels is None:
+        return components(found)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(ends.where("a <> b").distinct())
+    old = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return _store.materialize(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def _grow(labels: DataFrame | None, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels, and the links among the pairs near (a, b, same) that join components.
 
     Each class's most similar pair is verified first: that joins most of a crowd
     with one comparison for each class; then all pairs that still cross.
@@ -225,18 +236,16 @@ def _grow(links: DataFrame | None, near: DataFrame, sets: DataFrame, percent: in
     rank = F.struct(F.col("same"), -F.col("a"), -F.col("b"))
     ends = near.select(F.explode(F.array("a", "b")).alias("x"), rank.alias("r")).groupBy("x").agg(F.max("r").alias("r"))
     best = ends.select((-F.col("r.col2")).alias("a"), (-F.col("r.col3")).alias("b")).distinct()
-    found = _verify(best, sets, percent)
-    links = _store.materialize(found if links is None else links.unionByName(found), "links")
-    labels = components(links, "first-labels")
-    ends = near.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    labels = _joined(labels, _store.materialize(_verify(best, sets, percent), "links"))
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    ends = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
     crossing = ends.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    return _store.materialize(links.unionByName(_verify(crossing, sets, percent)), "all-links")
+    return _joined(labels, _store.materialize(_verify(crossing, sets, percent), "links"))
 
 
-def _mixed(rows: DataFrame, links: DataFrame) -> DataFrame | None:
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame | None:
     """The rows of regions that hold more than one component: with their component, and the region's largest (main); None if there are none."""
-    labels = components(links, "crowd-labels").withColumnRenamed("node", "rep")
-    rows = _store.materialize(rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "crowd-rows")
+    rows = _store.materialize(rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "crowd-rows")
     counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = F.max(F.struct("n", "label"))["label"].alias("main")
     mixed = _store.materialize(counts.groupBy("key").agg(main, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "mixed")
@@ -283,8 +292,8 @@ def _meet(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _crowds(links: DataFrame, sets: DataFrame, crowded: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """links, and those among the classes of crowded regions: no pair of one region that reaches the threshold crosses components.
+def _crowds(labels: DataFrame, sets: DataFrame, crowded: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """labels, and the links among the classes of crowded regions: no pair of one region that reaches the threshold crosses components.
 
     Twice, each class meets the most central class of each of its regions (the
     one whose regions hold most classes; then the most central one outside the
@@ -296,19 +305,19 @@ def _crowds(links: DataFrame, sets: DataFrame, crowded: DataFrame, classes: Data
     centre = _store.materialize(crowded.groupBy("rep").agg(F.sum("size").alias("centre")), "centre")
     mine = crowded.select("rep", "key").join(centre, "rep")
     for outside in (False, True):
-        rows = _mixed(mine, links)
+        rows = _mixed(mine, labels)
         if rows is None:
-            return links
+            return labels
         pool = rows.where("label <> main") if outside else rows
         hubs = pool.groupBy("key").agg(F.max(F.struct("centre", "rep", "label")).alias("hub"))
         met = rows.join(_store.materialize(hubs, "hubs"), "key").where(F.col("label") != F.col("hub.label"))
         met = met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
         near = _store.materialize(_agreement(met, classes, percent), "hub-pairs")
-        links = _store.materialize(links.unionByName(_verify(near, sets, percent)), "hub-links")
+        labels = _joined(labels, _store.materialize(_verify(near, sets, percent), "hub-links"))
 
-    rows = _mixed(mine, links)
+    rows = _mixed(mine, labels)
     if rows is None:
-        return links
+        return labels
     rows = _store.materialize(rows.join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("n")), "rep"), "rest")
     blocks = lambda which: F.ceil(F.greatest(F.count(which) / BLOCK, F.sum(F.when(which.isNotNull(), F.col("n"))) / BLOCK_SHINGLES)).cast("int")
     outer = F.when(F.col("label") != F.col("main"), F.col("rep"))
@@ -322,7 +331,7 @@ def _crowds(links: DataFrame, sets: DataFrame, crowded: DataFrame, classes: Data
     # new names for the same columns: both sides stem from one table
     left, right = (side.join(sets, "rep").select(*own).toDF(*own).groupBy("key", "i", "j") for side in (left, right))
     found = left.cogroup(right).applyInArrow(lambda x, y: _meet(x, y, percent), "a long, b long")
-    return _store.materialize(links.unionByName(found), "rest-links")
+    return _joined(labels, _store.materialize(found, "rest-links"))
 
 
 def components(links: DataFrame, tag: str = "labels") -> DataFrame:
@@ -369,7 +378,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         wanted = wanted.unionByName(crowded.select("rep"))
     wanted = _store.materialize(forest.select("rep", "id", "row").join(wanted.distinct(), "rep", "left_semi"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), row_hash(F.col("text")).alias("row"), "text")
-    texts = texts.join(wanted, ["id", "row"]).select("rep", "text")
+    texts = texts.join(wanted.hint("shuffle_hash"), ["id", "row"]).select("rep", "text")  # wanted grows with the input: never broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,10 +388,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([gram[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["rep", "s"])
 
     sets = _store.materialize(texts.mapInArrow(run, "rep long, s binary"), "sets")
-    links = _grow(None, near, sets, percent)
+    labels = _grow(None, near, sets, percent)
     if crowded is not None:
-        links = _crowds(links, sets, crowded, forest, percent)
-    labels = _store.materialize(components(links), "components")
+        labels = _crowds(labels, sets, crowded, forest, percent)
     named = labels.join(classes.select(F.col("rep").alias("node"), "id"), "node")
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     linked = named.join(least, "label").select(F.col("node").alias("rep"), F.col("label").alias("component"), "component_id")
