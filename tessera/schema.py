@@ -81,7 +81,7 @@ class MeasurementSchema:
 
     def struct(self, seq: bool = True) -> T.StructType:
         own = [T.StructField(c.name, c.spark, True, {"role": c.role, **({"dim": c.dim} if c.dim else {})}) for c in self.columns]
-        return T.StructType([T.StructField("time", T.LongType()), *own, *([T.StructField("_seq", T.LongType())] if seq else [])])
+        return T.StructType([T.StructField("time", T.LongType()), *own, *([T.StructField(n, T.LongType()) for n in ("_seq", "_row")] if seq else [])])
 
     def to_json(self) -> str:
         return json.dumps({"name": self.name, "generation": self.generation, "options": self.options, "columns": [[c.name, c.role, c.kind, c.dim] for c in self.columns]})

@@ -83,13 +83,15 @@ class TimeSeriesSession:
         rows = df if unique else df.groupBy(*schema.tags, "time").agg(*last).select(df.columns)
         self._registered[name] = Source(schema, df, rows)
 
-    def measurement(self, name: str) -> Source:
+    def measurement(self, name: str, where: Any = None) -> Source:
+        """A measurement; of a stored one, days outside the time range of ``where`` aren't read."""
         if name in self._registered:
             return self._registered[name]
         schema = self.storage.schema(self.database, name) if self.storage else None
         if schema is None:
             raise SchemaError(f"unknown measurement {name!r}")
-        return Source(schema, self.storage.log(self.database, name), self.storage.rows(self.database, name))
+        start, end, _ = self._time_range(where)
+        return Source(schema, self.storage.log(self.database, name, start=start, end=end), self.storage.rows(self.database, name, start, end))
 
     def _need_storage(self) -> Storage:
         if self.storage is None:
@@ -187,7 +189,7 @@ class TimeSeriesSession:
             schema = schemas[name]
             if schema != before[name]:
                 store.save_schema(self.database, schema)
-            data = [(p.time, *(self._cell(c, p) for c in schema.columns), i) for i, p in enumerate(own)]
+            data = [(p.time, *(self._cell(c, p) for c in schema.columns), 0, i) for i, p in enumerate(own)]
             store.append(self.database, schema, self.spark.createDataFrame(data, schema.struct()))
         if failure:
             raise failure
@@ -427,7 +429,7 @@ class TimeSeriesSession:
             if len(s.items) == 1 and isinstance(s.items[0][0], q.Call) and s.items[0][0].name in ("current_database", "database"):
                 return self.spark.createDataFrame([(self.database,)], f"{s.items[0][1] or s.items[0][0].name} string")
             raise SqlError("FROM is missing")
-        source = self.measurement(s.source)
+        source = self.measurement(s.source, s.where)
         self._check_aliases(s)
         aggregates = [self._is_aggregate(e) for e, _ in s.items]
         if any(aggregates):
@@ -578,7 +580,7 @@ class TimeSeriesSession:
             raise SqlError(f"unknown table-valued function {call.name!r}")
         if len(call.args) < 4 - (call.name == "forecast") or not all(isinstance(a, q.Name) for a in call.args[:2]):
             raise SqlError(f"{call.name} takes a measurement, a column, and more")
-        source = self.measurement(call.args[0].name)
+        source = self.measurement(call.args[0].name, s.where)
         column = source.schema.need(call.args[1].name)
         filters = self._filters(s.where, source)
         rows = source.rows.where(filters.row) if filters.row is not None else source.rows

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions import windows as wf
 from tessera.functions.series import Series
-from tessera.schema import MeasurementSchema
+from tessera.schema import MeasurementSchema, SchemaError
 from tessera.sources.ingest import as_measurement, parse_lines
 from tessera.sources.storage import Storage
 
@@ -23,10 +23,21 @@ def line_protocol_stream(spark: SparkSession, folder: str, precision: str = "ms"
 
 
 def into_measurement(points: DataFrame, storage: Storage, db: str, schema: MeasurementSchema, checkpoint: str) -> StreamingQuery:
-    """Append a stream of parsed points to a stored measurement; late points are always taken."""
-    storage.save_schema(db, schema)
+    """Append a stream of parsed points to a stored measurement; late points are always taken.
+
+    The stored log names each batch by the checkpoint and its number, so a batch
+    that is run again after a failure is written once.  An existing schema has to
+    hold the stream's columns.
+    """
+    known = storage.schema(db, schema.name)
+    if known is None:
+        storage.save_schema(db, schema)
+    elif any(known.get(c.name) != c for c in schema.columns):
+        raise SchemaError(f"the stream's columns don't fit measurement {schema.name!r}")
+    schema = known or schema
     rows = as_measurement(points, schema)
-    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: storage.append(db, schema, df)).trigger(availableNow=True).start()
+    write = lambda df, batch: storage.append(db, schema, df, stream=(checkpoint, batch)) and None
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
 def tumbling(points: DataFrame, s: Series, field: str, width_ms: int, delay: str = "10 minutes") -> DataFrame:
