@@ -10,13 +10,13 @@ from tessera.schema import SchemaError
 from tessera.session import TimeSeriesSession
 from tessera.sources import ingest, sinks
 
-SEED = "INSERT INTO cpu (time, host, region, usage, count) VALUES (1000,'h1','cn',1.0,10),(2000,'h1','cn',2.0,20),(3000,'h1','cn',3.0,30),(1500,'h2','us',5.0,50),(2500,'h2','us',6.0,60)"
+SEED = "INSERT INTO pump (time, unit, hall, flow, ticks) VALUES (4000,'p1','north',1.5,4),(6000,'p1','north',4.5,9),(9000,'p1','north',3.0,2),(5000,'p2','south',8.0,7),(7500,'p2','south',8.5,1)"
 
 
 @pytest.fixture
-def cpu(spark, tmp_path):
+def pump(spark, tmp_path):
     s = TimeSeriesSession(spark, str(tmp_path / "root"))
-    s.script("CREATE MEASUREMENT cpu (host TAG, region TAG, usage FIELD FLOAT, count FIELD INT, ok FIELD BOOL, label FIELD STRING);" + SEED)
+    s.script("CREATE MEASUREMENT pump (unit TAG, hall TAG, flow FIELD FLOAT, ticks FIELD INT, ok FIELD BOOL, note FIELD STRING);" + SEED)
     return s
 
 
@@ -24,53 +24,53 @@ def values(df):
     return [tuple(r) for r in df.collect()]
 
 
-def test_aggregate_rules(cpu):
-    assert values(cpu.sql("SELECT count(*) FROM cpu WHERE host = 'h1'")) == [(6,)]
-    assert cpu.sql("SELECT count(1) FROM cpu").columns == ["count(1)"]
-    assert values(cpu.sql("SELECT AVG(usage), count(usage) FROM cpu WHERE host='h1' GROUP BY time(2000ms)")) == [(1.0, 1), (2.5, 2)]
-    assert values(cpu.sql("SELECT sum(usage) FROM cpu WHERE time > 99999")) == []
-    assert values(cpu.sql("SELECT first(usage), last(usage) FROM cpu WHERE host='h1'")) == [(1.0, 3.0)]
-    assert values(cpu.sql("SELECT stddev(usage), spread(usage), mode(count) FROM cpu WHERE host='h1'")) == [(1.0, 2.0, 10.0)]
-    assert values(cpu.sql("SELECT stddev(usage) FROM cpu WHERE time = 1000")) == [(None,)]
+def test_aggregate_rules(pump):
+    assert values(pump.sql("SELECT count(*) FROM pump WHERE unit = 'p1'")) == [(6,)]
+    assert pump.sql("SELECT count(1) FROM pump").columns == ["count(1)"]
+    assert values(pump.sql("SELECT AVG(flow), count(flow) FROM pump WHERE unit='p1' GROUP BY time(5000ms)")) == [(1.5, 1), (3.75, 2)]
+    assert values(pump.sql("SELECT sum(flow) FROM pump WHERE time > 99999")) == []
+    assert values(pump.sql("SELECT first(flow), last(flow) FROM pump WHERE unit='p1'")) == [(1.5, 3.0)]
+    assert values(pump.sql("SELECT stddev(flow), spread(flow), mode(ticks) FROM pump WHERE unit='p1'")) == [(1.5, 3.0, 2.0)]
+    assert values(pump.sql("SELECT stddev(flow) FROM pump WHERE time = 4000")) == [(None,)]
     with pytest.raises(SqlError):
-        cpu.sql("SELECT last(usage) FROM cpu")
+        pump.sql("SELECT last(flow) FROM pump")
     with pytest.raises(SqlError):
-        cpu.sql("SELECT usage, avg(usage) FROM cpu")
-    digest = json.loads(values(cpu.sql("SELECT tdigest_agg(usage) FROM cpu"))[0][0])
-    assert digest["count"] == 5 and digest["centroids"][0] == [1.0, 1]
+        pump.sql("SELECT flow, avg(flow) FROM pump")
+    digest = json.loads(values(pump.sql("SELECT tdigest_agg(flow) FROM pump"))[0][0])
+    assert digest["count"] == 5 and digest["centroids"][0] == [1.5, 1]
 
 
-def test_raw_rules(cpu):
-    assert values(cpu.sql("SELECT time, usage FROM cpu c WHERE c.host = 'h1' ORDER BY time DESC LIMIT 2")) == [(3000, 3.0), (2000, 2.0)]
-    cpu.sql("INSERT INTO cpu (time, host, region, label) VALUES (7000, 'h1', 'cn', 'x')")
-    assert values(cpu.sql("SELECT time FROM cpu WHERE host='h1' ORDER BY time")) == [(1000,), (2000,), (3000,)]
-    assert values(cpu.sql("SELECT time, label FROM cpu WHERE host='h1' ORDER BY time")) == [(7000, "x")]
-    cpu.sql("INSERT INTO cpu (time, host, region, usage) VALUES (1000, 'h1', 'cn', 9.0)")  # the last write wins for rows, both count
-    assert values(cpu.sql("SELECT usage, count FROM cpu WHERE host='h1' AND time = 1000")) == [(9.0, 10)]
-    assert values(cpu.sql("SELECT count(usage) FROM cpu WHERE host='h1' AND time = 1000")) == [(2,)]
+def test_raw_rules(pump):
+    assert values(pump.sql("SELECT time, flow FROM pump c WHERE c.unit = 'p1' ORDER BY time DESC LIMIT 2")) == [(9000, 3.0), (6000, 4.5)]
+    pump.sql("INSERT INTO pump (time, unit, hall, note) VALUES (20000, 'p1', 'north', 'x')")
+    assert values(pump.sql("SELECT time FROM pump WHERE unit='p1' ORDER BY time")) == [(4000,), (6000,), (9000,)]
+    assert values(pump.sql("SELECT time, note FROM pump WHERE unit='p1' ORDER BY time")) == [(20000, "x")]
+    pump.sql("INSERT INTO pump (time, unit, hall, flow) VALUES (4000, 'p1', 'north', 9.0)")  # the last write wins for rows, both count
+    assert values(pump.sql("SELECT flow, ticks FROM pump WHERE unit='p1' AND time = 4000")) == [(9.0, 4)]
+    assert values(pump.sql("SELECT count(flow) FROM pump WHERE unit='p1' AND time = 4000")) == [(2,)]
 
 
-@pytest.mark.parametrize("text", ["SELECT usage FROM cpu WHERE usage > 1", "SELECT usage FROM cpu WHERE host != 'h1'", "SELECT usage FROM cpu WHERE host='a' OR host='b'", "SELECT usage FROM cpu WHERE host='a' AND host='b'", "SELECT usage*2 FROM cpu", "SELECT usage FROM cpu WHERE time > 5 AND time < 5", "SELECT avg(usage) FROM cpu GROUP BY host", "SELECT usage FROM cpu ORDER BY usage"])
-def test_strict_mode(cpu, text):
-    cpu.strict = True
+@pytest.mark.parametrize("text", ["SELECT flow FROM pump WHERE flow > 1", "SELECT flow FROM pump WHERE unit != 'p1'", "SELECT flow FROM pump WHERE unit='a' OR unit='b'", "SELECT flow FROM pump WHERE unit='a' AND unit='b'", "SELECT flow*2 FROM pump", "SELECT flow FROM pump WHERE time > 5 AND time < 5", "SELECT avg(flow) FROM pump GROUP BY unit", "SELECT flow FROM pump ORDER BY flow"])
+def test_strict_mode(pump, text):
+    pump.strict = True
     with pytest.raises(SqlError):
-        cpu.sql(text)
+        pump.sql(text)
 
 
-@pytest.mark.parametrize("text", ["SELECT nope FROM cpu", "SELECT avg(host) FROM cpu", "SELECT sum(label) FROM cpu", "SELECT x.usage FROM cpu", "SELECT f(usage) FROM cpu", "SELECT usage FROM none", "INSERT INTO cpu (time, host) VALUES (1,'a')", "INSERT INTO cpu (host, usage) VALUES ('a', NULL)", "CREATE MEASUREMENT cpu (a FIELD INT)", "SELECT moving_average(usage, 0) FROM cpu"])
-def test_errors(cpu, text):
+@pytest.mark.parametrize("text", ["SELECT nope FROM pump", "SELECT avg(unit) FROM pump", "SELECT sum(note) FROM pump", "SELECT x.flow FROM pump", "SELECT f(flow) FROM pump", "SELECT flow FROM none", "INSERT INTO pump (time, unit) VALUES (1,'a')", "INSERT INTO pump (unit, flow) VALUES ('a', NULL)", "CREATE MEASUREMENT pump (a FIELD INT)", "SELECT moving_average(flow, 0) FROM pump"])
+def test_errors(pump, text):
     with pytest.raises(ValueError):
-        cpu.sql(text).collect()
+        pump.sql(text).collect()
 
 
-def test_windows(cpu):
-    cpu.script("CREATE MEASUREMENT m (host TAG, a FIELD FLOAT, b FIELD FLOAT); INSERT INTO m (time,host,a) VALUES (0,'x',1.0),(1000,'x',3.0),(4000,'x',2.0); INSERT INTO m (time,host,b) VALUES (2000,'x',5.0),(5000,'x',6.0)")
-    got = values(cpu.sql("SELECT time, b, locf(a), fill(a,0), interpolate(a), difference(a), increase(a), integral(a), cumulative_sum(a), ewma(a,0.5), state_changes(a), state_duration(a) FROM m ORDER BY time"))
+def test_windows(pump):
+    pump.script("CREATE MEASUREMENT m (unit TAG, a FIELD FLOAT, b FIELD FLOAT); INSERT INTO m (time,unit,a) VALUES (0,'x',1.0),(1000,'x',3.0),(4000,'x',2.0); INSERT INTO m (time,unit,b) VALUES (2000,'x',5.0),(5000,'x',6.0)")
+    got = values(pump.sql("SELECT time, b, locf(a), fill(a,0), interpolate(a), difference(a), increase(a), integral(a), cumulative_sum(a), ewma(a,0.5), state_changes(a), state_duration(a) FROM m ORDER BY time"))
     assert got == [
         (0, None, 1.0, 1.0, 1.0, None, None, 0.0, 1.0, 1.0, 0, 0), (1000, None, 3.0, 3.0, 3.0, 2.0, 2.0, 2.0, 4.0, 2.0, 1, 0), (2000, 5.0, 3.0, 0.0, 3.0 - 1 / 3, None, None, 2.0, 4.0, 2.0, 1, 1000),
         (4000, None, 2.0, 2.0, 2.0, -1.0, None, 9.5, 6.0, 2.0, 2, 0), (5000, 6.0, 2.0, 0.0, None, None, None, 9.5, 6.0, 2.0, 2, 1000),
     ]
-    flat = values(cpu.sql("SELECT anomaly(usage,'zscore',3), changepoint(usage,'cusum',4) FROM cpu"))
+    flat = values(pump.sql("SELECT anomaly(flow,'zscore',3), changepoint(flow,'cusum',4) FROM pump"))
     assert flat == [(False, False)] * 5
 
 
@@ -88,34 +88,34 @@ def test_changepoint_and_estimate(spark):
         s.sql("SELECT pid_estimate(y, 'zn', NULL, NULL, NULL, NULL) FROM r WHERE time < 5000").collect()
 
 
-def test_schema_evolution_delete_and_upkeep(cpu):
-    assert [r[2] for r in values(cpu.sql("DESCRIBE cpu"))] == ["string", "string", "float64", "int64", "boolean", "string"]
-    cpu.sql("INSERT INTO cpu (time, host, count, fresh) VALUES (9000, 'h3', 1.5, 2)")
-    assert dict((r[0], r[2]) for r in values(cpu.sql("DESCRIBE cpu")))["count"] == "float64"
+def test_schema_evolution_delete_and_upkeep(pump):
+    assert [r[2] for r in values(pump.sql("DESCRIBE pump"))] == ["string", "string", "float64", "int64", "boolean", "string"]
+    pump.sql("INSERT INTO pump (time, unit, ticks, fresh) VALUES (30000, 'p3', 1.5, 2)")
+    assert dict((r[0], r[2]) for r in values(pump.sql("DESCRIBE pump")))["ticks"] == "float64"
     with pytest.raises(SchemaError):
-        cpu.sql("INSERT INTO cpu (time, host, usage) VALUES (9000, 'h3', TRUE)")
-    assert cpu.sql("DELETE FROM cpu WHERE host = 'h1' AND time <= 2000") == 5
-    live = "SELECT time, usage FROM cpu ORDER BY time"
-    before = values(cpu.sql(live))
-    assert before == [(1500, 5.0), (2500, 6.0), (3000, 3.0)]
-    cpu.sql("INSERT INTO cpu (time, host, region, usage) VALUES (1000, 'h1', 'cn', 7.0)")  # hidden as well
-    assert values(cpu.sql(live)) == before
-    assert cpu.storage.compact("default", "cpu") and values(cpu.sql(live)) == before
+        pump.sql("INSERT INTO pump (time, unit, flow) VALUES (9000, 'p3', TRUE)")
+    assert pump.sql("DELETE FROM pump WHERE unit = 'p1' AND time <= 6000") == 5
+    live = "SELECT time, flow FROM pump ORDER BY time"
+    before = values(pump.sql(live))
+    assert before == [(5000, 8.0), (7500, 8.5), (9000, 3.0)]
+    pump.sql("INSERT INTO pump (time, unit, hall, flow) VALUES (4000, 'p1', 'north', 7.0)")  # hidden as well
+    assert values(pump.sql(live)) == before
+    assert pump.storage.compact("default", "pump") and values(pump.sql(live)) == before
     day = 86_400_000
-    cpu.sql(f"INSERT INTO cpu (time, host, region, usage) VALUES ({9 * day}, 'h1', 'cn', 8.0)")
-    assert cpu.storage.retain("default", "cpu", day, 10 * day) >= 1
-    assert values(cpu.sql(live)) == [(9 * day, 8.0)]
+    pump.sql(f"INSERT INTO pump (time, unit, hall, flow) VALUES ({9 * day}, 'p1', 'north', 8.0)")
+    assert pump.storage.retain("default", "pump", day, 10 * day) >= 1
+    assert values(pump.sql(live)) == [(9 * day, 8.0)]
 
 
-def test_databases_and_accounts(cpu):
-    cpu.script("CREATE DATABASE other; USE other")
-    assert values(cpu.sql("SHOW MEASUREMENTS")) == [] and values(cpu.sql("SELECT current_database()")) == [("other",)]
-    cpu.script("CREATE USER ann WITH PASSWORD 'x'; GRANT READ ON DATABASE other TO ann")
-    assert values(cpu.sql("SHOW GRANTS FOR ann")) == [("ann", "other", "read")]
-    token = cpu.sql("ISSUE TOKEN FOR ann").first()
-    assert values(cpu.sql("SHOW TOKENS")) == [(token.token_id, "ann")]
-    cpu.sql("DROP USER ann")
-    assert values(cpu.sql("SHOW USERS")) == []
+def test_databases_and_accounts(pump):
+    pump.script("CREATE DATABASE other; USE other")
+    assert values(pump.sql("SHOW MEASUREMENTS")) == [] and values(pump.sql("SELECT current_database()")) == [("other",)]
+    pump.script("CREATE USER ann WITH PASSWORD 'x'; GRANT READ ON DATABASE other TO ann")
+    assert values(pump.sql("SHOW GRANTS FOR ann")) == [("ann", "other", "read")]
+    token = pump.sql("ISSUE TOKEN FOR ann").first()
+    assert values(pump.sql("SHOW TOKENS")) == [(token.token_id, "ann")]
+    pump.sql("DROP USER ann")
+    assert values(pump.sql("SHOW USERS")) == []
 
 
 def test_parser():
@@ -154,18 +154,18 @@ def test_sinks(spark):
     assert json.loads(out[1]) == [1, None] and json.loads(out[2])["rowCount"] == 1
 
 
-def test_user_functions(cpu):
-    cpu.functions.register_scalar("twice", lambda x: x * 2)
-    cpu.functions.register_aggregate("product", F.product)
-    cpu.functions.register_window("lagged", lambda df, s, out, f: df.withColumn(out, F.lag(f).over(s.w)))
-    cpu.functions.register_table("numbers", lambda session, n: session.spark.range(n))
-    assert values(cpu.sql("SELECT twice(usage) AS t FROM cpu WHERE host='h2' ORDER BY t")) == [(10.0,), (12.0,)]
-    assert values(cpu.sql("SELECT product(usage) FROM cpu WHERE host='h2'")) == [(30.0,)]
-    assert values(cpu.sql("SELECT time, lagged(usage) FROM cpu WHERE host='h2' ORDER BY time")) == [(1500, None), (2500, 5.0)]
-    assert cpu.sql("SELECT * FROM numbers(4)").count() == 4
-    assert cpu.functions.unregister("twice") and not cpu.functions.unregister("twice")
+def test_user_functions(pump):
+    pump.functions.register_scalar("twice", lambda x: x * 2)
+    pump.functions.register_aggregate("product", F.product)
+    pump.functions.register_window("lagged", lambda df, s, out, f: df.withColumn(out, F.lag(f).over(s.w)))
+    pump.functions.register_table("numbers", lambda session, n: session.spark.range(n))
+    assert values(pump.sql("SELECT twice(flow) AS t FROM pump WHERE unit='p2' ORDER BY t")) == [(16.0,), (17.0,)]
+    assert values(pump.sql("SELECT product(flow) FROM pump WHERE unit='p2'")) == [(68.0,)]
+    assert values(pump.sql("SELECT time, lagged(flow) FROM pump WHERE unit='p2' ORDER BY time")) == [(5000, None), (7500, 8.0)]
+    assert pump.sql("SELECT * FROM numbers(4)").count() == 4
+    assert pump.functions.unregister("twice") and not pump.functions.unregister("twice")
     with pytest.raises(PermissionError):
-        TimeSeriesSession(cpu.spark, user_functions=False).functions.register_scalar("f", abs)
+        TimeSeriesSession(pump.spark, user_functions=False).functions.register_scalar("f", abs)
 
 
 def test_streams(spark, tmp_path):
@@ -197,9 +197,9 @@ def test_entry_and_oracles():
     assert set(oracles) <= set(names) and len(names) >= 60
 
 
-def test_stored_values_survive_a_new_session(cpu, spark):
-    again = TimeSeriesSession(spark, cpu.storage.root)
-    assert values(again.sql("SELECT count(*) FROM cpu")) == [(10,)]
+def test_stored_values_survive_a_new_session(pump, spark):
+    again = TimeSeriesSession(spark, pump.storage.root)
+    assert values(again.sql("SELECT count(*) FROM pump")) == [(10,)]
 
 
 def test_pid_estimate_query_takes_all_events(spark, tmp_path):
@@ -225,3 +225,83 @@ def test_pid_estimate_query_takes_all_events(spark, tmp_path):
     kd = kp * tau * theta / (2 * tau + theta)
     (got,) = QUERIES["pid_estimate"](spark, str(tmp_path)).collect()
     assert abs(got.kp - kp) < 1e-3 and abs(got.kd - kd) < 1e-3 * kd
+
+
+def _store(spark, tmp_path):
+    from tessera.schema import Column, MeasurementSchema
+    from tessera.sources.storage import Storage
+
+    store = Storage(spark, str(tmp_path / "store"))
+    schema = MeasurementSchema("m", (Column("h", "tag"), Column("v", "field", "float64")))
+    store.save_schema("db", schema)
+    return store, schema
+
+
+def test_last_write_wins_in_a_large_batch(spark, tmp_path):
+    s = TimeSeriesSession(spark, str(tmp_path / "root"))
+    points = [ingest.Point("m", 10 if i in (10, 4096) else i + 10_000, {}, {"v": 777.0 if i == 4096 else float(i)}) for i in range(5000)]
+    s.write(points)
+    assert values(s.sql("SELECT v FROM m WHERE time = 10")) == [(777.0,)]
+    s.write([ingest.Point("m", 10, {}, {"v": 5.0})])
+    assert values(s.sql("SELECT v FROM m WHERE time = 10")) == [(5.0,)]
+
+
+def test_only_what_the_log_names_is_read(spark, tmp_path):
+    store, schema = _store(spark, tmp_path)
+    rows = spark.createDataFrame([(1000, "a", 1.0)], "time long, h string, v double")
+    assert store.append("db", schema, rows, stream=("s", 3))
+    assert not store.append("db", schema, rows, stream=("s", 3))  # the same batch once more
+    folder = next(iter(store.state("db", "m").data))
+    path = store.path("db", "m")
+    spark.read.parquet(f"{path}/{folder}/date=1970-01-01").write.parquet(f"{path}/data/batch=000000000099-left/date=1970-01-01")  # a write cut short
+    store.put(f"{path}/_log/000000000002.claim", "")  # and its claim
+    assert store.log("db", "m").count() == 1
+    assert store.append("db", schema, rows) and store.state("db", "m").version == 3
+    assert store.log("db", "m").count() == 2 and store.rows("db", "m").count() == 1
+
+
+def test_compaction_merges_tiers_and_recycles_tombstones(spark, tmp_path):
+    store, schema = _store(spark, tmp_path)
+    rows = lambda *v: spark.createDataFrame([(t, "a", x) for t, x in v], "time long, h string, v double")
+    for i in range(4):
+        assert not store.compact("db", "m")
+        store.append("db", schema, rows((i, float(i)), (0, 10.0 + i)))
+    assert store.compact("db", "m") and len(store.state("db", "m").data) == 1 and not store.compact("db", "m")
+    assert sorted(values(store.rows("db", "m"))) == [(0, "a", 13.0), (1, "a", 1.0), (2, "a", 2.0), (3, "a", 3.0)]
+    store.add_tombstones("db", schema, store.log("db", "m"), 1, 2)
+    store.append("db", schema, rows((2, 5.0)))
+    assert store.log("db", "m").where("time = 2").count() == 0
+    assert store.compact("db", "m") and not store.state("db", "m").tombstones and not store.compact("db", "m")
+    store.append("db", schema, rows((2, 6.0)))
+    assert sorted(values(store.rows("db", "m"))) == [(0, "a", 13.0), (2, "a", 6.0), (3, "a", 3.0)]
+
+
+def test_many_tombstones(spark, tmp_path):
+    """Beyond the number that a filter holds, by a join."""
+    store, schema = _store(spark, tmp_path)
+    rows = spark.createDataFrame([(t, f"h{i}", 1.0) for i in range(100) for t in (1, 2)], "time long, h string, v double")
+    store.append("db", schema, rows)
+    assert store.add_tombstones("db", schema, store.log("db", "m").where("h <> 'h7'"), 2, 2) == 99
+    assert sorted(values(store.log("db", "m").where("time = 2").select("h"))) == [("h7",)]
+
+
+def test_scans_read_only_the_days_of_the_range(spark, tmp_path):
+    s = TimeSeriesSession(spark, str(tmp_path / "root"))
+    s.sql("CREATE MEASUREMENT m (h TAG, v FIELD FLOAT)")
+    schema, day = s.storage.schema("default", "m"), 86_400_000
+    s.storage.append("default", schema, spark.range(20).selectExpr(f"id * {day} + 5 AS time", "'a' AS h", "CAST(id AS DOUBLE) AS v"))
+    for text in (f"SELECT time, v FROM m WHERE time >= {3 * day} AND time < {5 * day}", f"SELECT avg(v) FROM m WHERE time >= {3 * day} AND time < {5 * day}"):
+        df = s.sql(text)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(date" in plan and "1970-01-04" in plan and "1970-01-05" in plan
+        df.collect()
+    assert values(s.sql(f"SELECT v FROM m WHERE time >= {3 * day} AND time < {5 * day}")) == [(3.0,), (4.0,)]
+
+
+def test_payloads_read_in_tasks(spark):
+    texts = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    got = ingest.parse_values(texts("INSERT INTO m (time, h, v) VALUES (1, 'a', 1.5), (2, 'b', 2.5)", "INSERT INTO m (time) VALUES (1)")).collect()
+    assert sorted((r.time, r.tags, r.doubles) for r in got if r.error is None) == [(1, {"h": "a"}, {"v": 1.5}), (2, {"h": "b"}, {"v": 2.5})]
+    assert sum(r.error is not None for r in got) == 1
+    got = ingest.parse_json(texts('{"m": "m", "points": [{"t": 1, "fields": {"v": 2}}]}', "{")).collect()
+    assert [r.longs for r in got if r.error is None] == [{"v": 2}] and len(got) == 2
