@@ -21,44 +21,69 @@ agree on ``cap`` symbols stay together, in any order.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections import defaultdict
 
 import numpy as np
+from pyarrow import fs
 
 _NONE = np.iinfo(np.int16).max
 
 
 class SpillingQueue:
-    """First-in-first-out runs of (position, prefix) by symbol; the largest go to disk beyond ``budget`` bytes."""
+    """First-in-first-out runs of (position, prefix) by symbol; the largest go to files beyond ``budget`` bytes.
 
-    def __init__(self, budget: int) -> None:
+    ``folder`` is a URI or path of any file system that pyarrow opens; without
+    one nothing is spilled.
+    """
+
+    def __init__(self, budget: int, folder: str | None = None) -> None:
         self.budget, self.held, self.spilled = budget, 0, 0
         self._runs: dict[int, list] = defaultdict(list)
         self._bytes: dict[int, int] = defaultdict(int)
-        self._file = None
+        self._folder, self._files = folder, None
+        self._left: dict[str, int] = {}  # runs of each file that are still waiting
 
     def push(self, symbol: int, position: np.ndarray, prefix: np.ndarray) -> None:
         self._runs[symbol].append((position, prefix))
         size = position.nbytes + prefix.nbytes
         self._bytes[symbol] += size
         self.held += size
-        while self.held > self.budget:
+        if self.held > self.budget and self._folder:
             self._spill()
 
     def _spill(self) -> None:
-        symbol = max(self._bytes, key=self._bytes.__getitem__)
-        if self._file is None:
-            self._file = tempfile.TemporaryFile()
-        self._file.seek(0, 2)
-        for i, run in enumerate(self._runs[symbol]):
-            if run[0] is not None:
-                at = self._file.tell()
-                self._file.write(run[0].tobytes())
-                self._file.write(run[1].tobytes())
-                self._runs[symbol][i] = (None, at, len(run[0]), run[0].dtype)
-        self.spilled += self._bytes[symbol]
-        self.held -= self._bytes.pop(symbol)
+        """Writes the largest runs to one file, until half of the budget is held."""
+        if self._files is None:
+            self._files, root = fs.FileSystem.from_uri(self._folder) if ":" in self._folder else (fs.LocalFileSystem(), self._folder)
+            self._folder = f"{root.rstrip('/')}/queue-{uuid.uuid4().hex}"
+            self._files.create_dir(self._folder)
+        name, at, runs = f"{self._folder}/{uuid.uuid4().hex}", 0, 0
+        with self._files.open_output_stream(name) as out:
+            for symbol in sorted(self._bytes, key=self._bytes.__getitem__, reverse=True):
+                if self.held <= self.budget // 2:
+                    break
+                held = [run for run in self._runs[symbol] if run[0] is not None]
+                position, prefix = (np.concatenate(x) for x in zip(*held, strict=True))
+                out.write(position.tobytes())
+                out.write(prefix.tobytes())
+                # those in memory came after those on disk
+                self._runs[symbol] = [*self._runs[symbol][: -len(held)], (None, name, at, len(position), position.dtype)]
+                at += position.nbytes + prefix.nbytes
+                runs += 1
+                self.spilled += self._bytes[symbol]
+                self.held -= self._bytes.pop(symbol)
+        self._left[name] = runs
+
+    def _read(self, name: str, at: int, count: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        """A run that waits in a file; the last one of a file deletes it."""
+        with self._files.open_input_file(name) as data:
+            raw = data.read_at(count * (kind.itemsize + 2), at)
+        self._left[name] -= 1
+        if not self._left[name]:
+            self._files.delete_file(name)
+            del self._left[name]
+        return np.frombuffer(raw, kind, count), np.frombuffer(raw, np.int16, count, count * kind.itemsize)
 
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
         """All tuples of a symbol so far, in order; None if there are none."""
@@ -66,20 +91,12 @@ class SpillingQueue:
         if not runs:
             return None
         self.held -= self._bytes.pop(symbol, 0)
-        parts = []
-        for run in runs:
-            if run[0] is None:
-                _, at, count, kind = run
-                self._file.seek(at)
-                position = np.frombuffer(self._file.read(count * kind.itemsize), kind)
-                parts.append((position, np.frombuffer(self._file.read(count * 2), np.int16)))
-            else:
-                parts.append(run)
+        parts = [self._read(*run[1:]) if run[0] is None else run for run in runs]
         return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def close(self) -> None:
-        if self._file is not None:
-            self._file.close()
+        if self._files is not None:
+            self._files.delete_dir(self._folder)
 
 
 def _dense(x: np.ndarray) -> tuple[np.ndarray, int]:
@@ -199,11 +216,12 @@ def _induce(s, kind, sources, prefix, since, queue, cap) -> None:
         queue.push(c, at[i:j], value[i:j])
 
 
-def suffix_sort(s: np.ndarray, n_separators: int, cap: int, budget: int = 32 << 20, base: int = 1 << 22, prefixes: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+def suffix_sort(s: np.ndarray, n_separators: int, cap: int, budget: int = 32 << 20, base: int = 1 << 22, prefixes: bool = True, folder: str | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """(order of all suffixes, common prefix of each with the one before).
 
     s: integers; 0 .. n_separators - 1 occur once each, the last symbol is one of
-    them.  ``budget`` bytes of queued tuples stay in memory; a string of at most
+    them.  ``budget`` bytes of queued tuples stay in memory, the others
+    in files of ``folder``; a string of at most
     ``base`` names is sorted in memory instead of by recursion.
     """
     n = len(s)
@@ -220,7 +238,7 @@ def suffix_sort(s: np.ndarray, n_separators: int, cap: int, budget: int = 32 <<
     elif len(lms) <= base:
         order = _double(names, count, cap)
     else:
-        order = suffix_sort(names, n_separators, cap, budget, base, prefixes=False)[0]
+        order = suffix_sort(names, n_separators, cap, budget, base, False, folder)[0]
     lms = lms[order]
     words = _Words(s, n_separators, cap) if prefixes else None
     # without values the same code runs on zeros
@@ -235,8 +253,8 @@ def suffix_sort(s: np.ndarray, n_separators: int, cap: int, budget: int = 32 <<
     large = ~small
     size = int(s.max()) + 1
 
-    queue, since = SpillingQueue(budget), np.full(size, -1, np.int16)
-    done = SpillingQueue(budget)  # the sorted L part of each symbol, then its S part
+    queue, since = SpillingQueue(budget, folder), np.full(size, -1, np.int16)
+    done = SpillingQueue(budget, folder)  # the sorted L part of each symbol, then its S part
     separators = lms[: bound[0]]
     if len(separators):
         _induce(s, large, separators, np.zeros(len(separators), np.int16), since, queue, cap)
@@ -253,7 +271,7 @@ def suffix_sort(s: np.ndarray, n_separators: int, cap: int, budget: int = 32 <<
             _induce(s, large, own, value, since, queue, cap)
     queue.close()
 
-    queue, since = SpillingQueue(budget), np.full(size, -1, np.int16)
+    queue, since = SpillingQueue(budget, folder), np.full(size, -1, np.int16)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for c in symbols[::-1].tolist():
         seconds = []
@@ -284,7 +302,7 @@ def suffix_sort(s: np.ndarray, n_separators: int, cap: int, budget: int = 32 <<
     return sa, lcp if prefixes else None
 
 
-def sort_segments(segments: list[bytes], cap: int, **options: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sort_segments(segments: list[bytes], cap: int, **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffix order, common prefixes, start of each segment) of byte segments, each followed by its separator."""
     lengths = np.array([len(x) + 1 for x in segments])
     starts = np.cumsum(lengths) - lengths

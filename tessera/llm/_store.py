@@ -14,17 +14,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 FALLBACK = "/tmp/checkpoints"
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[object, object]] = []  # file system and path, which outlive the session
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK).rstrip("/")
+    """The shared folder for intermediate tables; a cluster has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return (named or FALLBACK).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{work_dir(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target))
     return path
 
 
@@ -45,9 +49,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def cleanup() -> None:
     """Delete every intermediate table of this process; results read before stay valid only if collected or written."""
     while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            delete_path(spark, path)
+        files, path = _written.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            files.delete(path, True)
 
 
 atexit.register(cleanup)

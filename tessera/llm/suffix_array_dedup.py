@@ -24,19 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _segments as sg
+from tessera.llm import _store
 from tessera.llm import _text as tx
 from tessera.llm._induced import sort_segments
 
 LENGTH = 200
 GRAM = 48
-#: Bytes of text sorted together, and bytes of queued suffix tuples kept in memory.
+#: Bytes of text sorted together, and bytes of queued suffix tuples (six for each byte of text) kept in memory.
 SHARD_BYTES = 1 << 20
-QUEUE_BYTES = 16 << 20
+QUEUE_BYTES = 2 << 20
 
 
-def classes(bodies: list[bytes], runs: np.ndarray, length: int) -> np.ndarray:
-    """A number for each window of some segments; equal windows get equal numbers."""
-    order, prefix, starts = sort_segments(bodies, length, budget=QUEUE_BYTES)
+def classes(bodies: list[bytes], runs: np.ndarray, length: int, folder: str | None = None) -> np.ndarray:
+    """A number for each window of some segments; equal windows get equal numbers.  Queues spill into folder."""
+    order, prefix, starts = sort_segments(bodies, length, budget=QUEUE_BYTES, folder=folder)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(prefix < length)
     return np.concatenate([number[s : s + r] for s, r in zip(starts.tolist(), runs.tolist(), strict=True)])
@@ -45,7 +46,8 @@ def classes(bodies: list[bytes], runs: np.ndarray, length: int) -> np.ndarray:
 def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of removed [start, end) ranges) and kept (binary) of each document."""
     plan = sg.Plan(length, min(GRAM, max(1, length // 2)), words=False)
-    marked = sg.removals(sg.with_row(docs), plan, "op1", lambda bodies, runs: classes(bodies, runs, length), SHARD_BYTES)
+    queues = _store.new_path(docs.sparkSession, "op1-queues")
+    marked = sg.removals(sg.with_row(docs), plan, "op1", lambda bodies, runs: classes(bodies, runs, length, queues), SHARD_BYTES)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

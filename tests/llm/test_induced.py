@@ -46,15 +46,40 @@ def test_larger_alphabet_recursion():
     assert lcp.max() >= 499
 
 
-def test_queue_spills_and_keeps_order():
-    q = SpillingQueue(100)
+def test_queue_spills_and_keeps_order(tmp_path):
+    q = SpillingQueue(100, f"file://{tmp_path}")
     for i in range(50):
         q.push(i % 3, np.arange(i, i + 5, dtype=np.int32), np.full(5, i, np.int16))
     assert q.spilled > 0
     got = np.concatenate([q.pop(c)[0] for c in range(3)])
     assert got.tolist() == [x for c in range(3) for i in range(c, 50, 3) for x in range(i, i + 5)]
     assert q.pop(0) is None
+    assert [f for f in tmp_path.rglob("*") if f.is_file()] == []  # a file goes with its last run
     q.close()
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_shard_of_many_times_the_budget_spills_and_recurses(tmp_path, monkeypatch):
+    """A megabyte of text with 64 KiB of queue, and names sorted by recursion: as with everything in memory."""
+    from tessera.llm import _induced
+
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 101, 60_000, dtype=np.uint8).tobytes()
+    segments = [text[a : a + n] for a, n in zip(rng.integers(0, 50_000, 120).tolist(), rng.integers(50, 9000, 120).tolist(), strict=True)]
+    spilled, depth, queue, sort = [], [], _induced.SpillingQueue, _induced.suffix_sort
+    close = queue.close
+    monkeypatch.setattr(queue, "close", lambda self: (spilled.append(self.spilled), close(self))[1])
+    monkeypatch.setattr(_induced, "suffix_sort", lambda *a, **k: (depth.append(len(a[0])), sort(*a, **k))[1])
+    order, common, starts = sort_segments(segments, 200, budget=64 << 10, base=20_000, folder=str(tmp_path))
+    assert sum(spilled) > 1 << 20 and len(depth) > 1
+    monkeypatch.undo()
+    _, lcp, _ = sort_segments(segments, 200)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(common < 200)
+    assert (common == lcp).all()  # the order of suffixes that agree on 200 symbols is free
+    data = b"\0".join([*segments, b""])
+    for i in np.flatnonzero(common >= 200)[:2000].tolist():
+        assert data[order[i] : order[i] + 200] == data[order[i - 1] : order[i - 1] + 200]
 
 
 @pytest.mark.parametrize("seed", range(6))

@@ -75,3 +75,41 @@ def test_classifier_learns_and_scores_everything(spark):
 def test_needed_score_falls_with_length():
     share = [dc.needed(n, 0.5) / (dc.MATCH * n) for n in (6, 14, 20, 22, 25, 60)]
     assert share[:3] == [0.5] * 3 and share[3] == 10 / 22 and share[4:] == [0.4] * 2
+
+
+def test_alignment_is_smith_waterman():
+    """Scores against the plain recurrence; the place given holds an alignment of that score."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        item, text = (rng.integers(0, 4, n).astype(np.uint64) for n in rng.integers(1, 15, 2))
+        best = np.zeros((len(item) + 1, len(text) + 1), int)
+        for i, x in enumerate(item.tolist(), 1):
+            for j, y in enumerate(text.tolist(), 1):
+                step = dc.MATCH if x == y else dc.MISS
+                best[i, j] = max(0, best[i - 1, j - 1] + step, best[i - 1, j] + dc.MISS, best[i, j - 1] + dc.MISS)
+        score, start, end = dc.align(item, text)
+        assert score == best.max()
+        assert dc.align(item, text[start:end])[0] == score
+        first = np.flatnonzero((best == score).any(axis=0))
+        assert not score or (best[:, end] == score).any() and end in first
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """The hinge-loss objective against a long projected subgradient descent on dense vectors."""
+    rng = np.random.default_rng(5)
+    n, width = 60, 40
+    dense = (rng.random((n, width)) < 0.3) * rng.normal(size=(n, width))
+    dense[:, 0] = 1
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    y = np.where(dense @ rng.normal(size=width) + 0.3 * rng.normal(size=n) > 0, 1.0, -1.0)
+    cost = rng.uniform(0.3, 3, n)
+    rows = [np.flatnonzero(x) for x in dense]
+    at = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    value = np.concatenate([dense[i][r] for i, r in enumerate(rows)])
+    w = qc.coordinate_descent(np.concatenate(rows), at, value, y, cost, epochs=2000)[:width]
+    goal = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (dense @ v))).sum()
+    v, least = np.zeros(width), np.inf
+    for step in range(1, 40_000):
+        v = v - (v - (cost * y * (y * (dense @ v) < 1)) @ dense) / step
+        least = min(least, goal(v))
+    assert goal(w) <= least * 1.0001 and goal(w) >= least * 0.99
