@@ -99,11 +99,34 @@ SQL["agg_mode"] = "WITH c AS (SELECT time // 3600000 AS b, k, count(*) AS m FROM
 for _n, _q in (("median", 0.5), ("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)):
     aggregate(_n, f"{_n}(value)", f"round(quantile_cont(value, {_q}), 4)")
 aggregate("percentile", "percentile(value, 12.5)", "round(quantile_cont(value, 0.125), 4)")
-add("agg_distinct_count", "SELECT distinct_count(value) AS r FROM events WHERE event_type = 'click'")
-add("agg_tdigest", "SELECT tdigest_agg(value) AS r FROM events GROUP BY time(7d)")
+
+
+def _distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch beside the exact count, and whether it is within 15 % (three standard errors)."""
+    s = session(spark, sf_dir)
+    s.functions.register_aggregate("exact_distinct", F.count_distinct)
+    out = s.sql("SELECT distinct_count(value) AS r, exact_distinct(value) AS n FROM events GROUP BY time(1d)")
+    return out.select("n", (F.abs(F.col("r") - F.col("n")) <= F.greatest(F.lit(1.0), 0.15 * F.col("n"))).alias("near"))
+
+
+def _tdigest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, weight and mean of each digest, and whether its median lies within 5 % of the range of the exact one."""
+    out = session(spark, sf_dir).sql("SELECT tdigest_agg(value) AS r, median(value) AS m, spread(value) AS w FROM events GROUP BY time(7d)")
+    out = out.withColumn("d", F.from_json("r", "count long, centroids array<array<double>>"))
+    total = lambda f: F.aggregate("d.centroids", F.lit(0.0), lambda a, c: a + f(c))
+    step = lambda a, c: F.struct((a["seen"] + c[1]).alias("seen"), F.when(a["seen"] * 2 < F.col("d.count"), c[0]).otherwise(a["mid"]).alias("mid"))
+    mid = F.aggregate("d.centroids", F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("double").alias("mid")), step)["mid"]
+    weight = total(lambda c: c[1])
+    return out.select(F.col("d.count").alias("n"), weight.cast("long").alias("weight"), F.round(total(lambda c: c[0] * c[1]) / weight, 4).alias("mean"), (F.abs(mid - F.col("m")) <= 0.05 * F.col("w")).alias("near"))
+
+
+QUERIES["agg_distinct_count"] = _distinct_count
+SQL["agg_distinct_count"] = "SELECT count(DISTINCT value) AS n, true AS near FROM {E} WHERE value IS NOT NULL GROUP BY time // 86400000".replace("{E}", EVENTS)
+QUERIES["agg_tdigest"] = _tdigest
+SQL["agg_tdigest"] = "SELECT count(value) AS n, count(value) AS weight, round(avg(value), 4) AS mean, true AS near FROM {E} WHERE value IS NOT NULL GROUP BY time // 604800000".replace("{E}", EVENTS)
 add("agg_histogram", "SELECT histogram(value, 25) AS r FROM events WHERE event_type = 'click'", """SELECT '{' || string_agg('"[' || CAST(b * 25 AS BIGINT) || ',' || CAST((b + 1) * 25 AS BIGINT) || ')":' || n, ',' ORDER BY b) || '}' AS r FROM (SELECT floor(value / 25) AS b, count(*) AS n FROM {E} WHERE event_type = 'click' AND value IS NOT NULL GROUP BY 1)""")
-QUERIES["agg_centroid"] = lambda spark, sf_dir: session(spark, sf_dir).sql("SELECT centroid(embedding) AS c FROM embeddings").select(*[F.round(F.col("c")[i].cast("double"), 4).alias(f"c{i}") for i in range(4)])
-SQL["agg_centroid"] = "SELECT " + ", ".join(f"round(CAST(CAST(avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS FLOAT) AS DOUBLE), 4) AS c{i}" for i in range(4)) + " FROM embeddings"
+QUERIES["agg_centroid"] = lambda spark, sf_dir: session(spark, sf_dir).sql("SELECT centroid(embedding) AS c FROM embeddings").select(*[F.round(F.col("c")[i].cast("double"), 4).alias(f"c{i}") for i in range(64)])
+SQL["agg_centroid"] = "SELECT " + ", ".join(f"round(CAST(CAST(avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS FLOAT) AS DOUBLE), 4) AS c{i}" for i in range(64)) + " FROM embeddings"
 _STEP = """WITH s AS (SELECT *, lag(lat) OVER o AS pa, lag(lon) OVER o AS po, time - lag(time) OVER o AS dt FROM {E} WHERE event_type = 'click' WINDOW o AS (PARTITION BY time // 86400000 ORDER BY time)),
   d AS (SELECT *, CASE WHEN pa IS NOT NULL THEN 1 END * 2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(lat - pa) / 2), 2) + cos(radians(pa)) * cos(radians(lat)) * pow(sin(radians(lon - po) / 2), 2)))) AS m FROM s) """
 for _n, _x in (("length", "coalesce(sum(m), 0) / 1000"), ("speed_max", "max(CASE WHEN dt > 0 THEN m * 1000 / dt END)"), ("speed_avg", "avg(CASE WHEN dt > 0 THEN m * 1000 / dt END)"), ("speed_p95", "quantile_cont(CASE WHEN dt > 0 THEN m * 1000 / dt END, 0.95)")):
@@ -118,6 +141,13 @@ _PID = """WITH s AS (SELECT *, 50 - value AS e, {b} AS b FROM {E} WHERE event_ty
   u AS (SELECT *, 1.5 * e + 0.01 * coalesce(sum(e * dt) OVER (PARTITION BY b ORDER BY time), 0) + 2 * coalesce((e - pe) / dt, 0) AS u FROM p) """
 add("pid_series", "SELECT time, pid_series(value, 50, 1.5, 0.01, 2) AS u, value FROM events WHERE event_type = 'click'", (_PID + "SELECT time, round(u, 4) AS u, round(value, 4) AS value FROM u").replace("{b}", "0"))
 add("pid_buckets", "SELECT pid(value, 50, 1.5, 0.01, 2) AS u FROM events WHERE event_type = 'click' GROUP BY time(1d)", (_PID + "SELECT round(arg_max(u, time), 4) AS u FROM u GROUP BY b").replace("{b}", "time // 86400000"))
+SQL["pid_estimate"] = """WITH y AS (SELECT event_id * 1000 AS t, n, row_number() OVER (ORDER BY event_id) AS i, 100 * (1 - exp(-greatest(0, event_id - 0.06 * n) / (0.1 * n))) AS v FROM events, (SELECT CAST(count(*) AS DOUBLE) AS n FROM events)),
+  b AS (SELECT min(t) AS t0, avg(v) FILTER (WHERE i <= greatest(1, floor(n * 0.05))) AS low, avg(v) FILTER (WHERE i > n - greatest(1, floor(n * 0.1))) AS high FROM y),
+  s AS (SELECT t - t0 AS t, (v - low) / (high - low) AS x, lag(t - t0) OVER (ORDER BY t) AS pt, lag((v - low) / (high - low)) OVER (ORDER BY t) AS px FROM y, b),
+  c AS (SELECT min(pt + (0.35 - px) / (x - px) * (t - pt)) FILTER (WHERE px < 0.35 AND x >= 0.35) AS a, min(pt + (0.85 - px) / (x - px) * (t - pt)) FILTER (WHERE px < 0.85 AND x >= 0.85) AS e FROM s),
+  m AS (SELECT (e - a) / (1.8971 - 0.4308) AS tau, a - (e - a) / (1.8971 - 0.4308) * 0.4308 AS theta, high - low AS gain FROM c, b),
+  k AS (SELECT *, (tau + theta / 2) / (gain * 1.5 * theta) AS kp, tau * theta / (2 * tau + theta) AS td FROM m)
+  SELECT round(kp, 4) AS kp, round(kp / (tau + theta / 2) * 1e6, 4) AS ki_e6, round(kp * td, 4) AS kd FROM k"""
 QUERIES["pid_estimate"] = lambda spark, sf_dir: _pid_estimate(spark, sf_dir)
 
 
@@ -129,7 +159,7 @@ def _pid_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rise = 100 * (1 - F.exp(-F.greatest(F.lit(0.0), F.col("event_id") - 0.06 * n) / (0.1 * n or 1.0)))
     s.register("reactor", rows.select((F.col("event_id") * 1000).alias("time"), rise.alias("temperature")))
     parsed = F.from_json("r", "kp double, ki double, kd double")
-    return rounded(s.sql("SELECT pid_estimate(temperature, 'imc', NULL, 0.05, NULL, NULL) AS r FROM reactor").select(parsed.alias("p")).select("p.kp", "p.kd"))
+    return rounded(s.sql("SELECT pid_estimate(temperature, 'imc', NULL, 0.05, NULL, NULL) AS r FROM reactor").select(parsed.alias("p")).select("p.kp", (F.col("p.ki") * 1e6).alias("ki_e6"), "p.kd"))
 
 
 # window functions
