@@ -254,10 +254,12 @@ def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame | None:
 
 def _meet(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     """Links that join the components of two blocks of (rep, label, s): a spanning forest of the pairs that reach the threshold."""
+    if not left.num_rows or not right.num_rows:  # a block that has no other side
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     grams, owner, n = [], [], []
     for side in (left, right):
         bodies = side["s"].to_pylist()
-        n.append(np.array([len(x) // 8 for x in bodies]))
+        n.append(np.array([len(x) // 8 for x in bodies], np.int64))
         grams.append(np.frombuffer(b"".join(bodies), np.uint64))
         owner.append(np.repeat(np.arange(len(bodies)), n[-1]))
     shared = np.intersect1d(*grams)
