@@ -11,9 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; numpy needs up to a hundred times as much memory per byte.  Of a longer
-#: document, words are found and hashed in such pieces; what is kept of it takes about ten bytes for each byte.
-SLICE_BYTES = 1 << 20
+#: Bytes of text handled at once; numpy needs up to a hundred times as much memory per byte, and arrays of this
+#: size stay in the processor's cache.  Of a longer document, words are found and hashed in such pieces; what is
+#: kept of it takes about ten bytes for each byte.
+SLICE_BYTES = 1 << 17
 _U = np.uint64
 #: Ranges are hashed as polynomials modulo this prime, at a fixed random point; for k elements, two ranges collide with a chance of k / 2**61.
 _PRIME = (1 << 61) - 1

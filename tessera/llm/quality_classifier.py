@@ -82,12 +82,16 @@ def held_out(doc_id: Column) -> Column:
 
 def _unit(numbers: np.ndarray, at: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """Length of each document's scaled vector, at least a little above zero."""
-    sums = np.concatenate(([0.0], np.cumsum(ratio[numbers].astype(np.float64) ** 2)))
+    squares = ratio[numbers].astype(np.float64)
+    squares *= squares
+    sums = np.zeros(len(numbers) + 1)
+    np.cumsum(squares, out=sums[1:])
     return np.sqrt(np.maximum(sums[at[1:]] - sums[at[:-1]], 1e-12))
 
 
 def margins(numbers: np.ndarray, at: np.ndarray, ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    sums = np.concatenate(([0.0], np.cumsum((weight * ratio)[numbers].astype(np.float64))))
+    sums = np.zeros(len(numbers) + 1)
+    np.cumsum((weight * ratio)[numbers], dtype=np.float64, out=sums[1:])
     return (sums[at[1:]] - sums[at[:-1]]) / _unit(numbers, at, ratio)
 
 
@@ -122,9 +126,10 @@ def fit(numbers: np.ndarray, at: np.ndarray, label: np.ndarray, fold: np.ndarray
     flat = (none, none, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))) if len(label) else 20.0)
     if len(np.unique(label)) < 2:
         return flat
-    owner = np.repeat(np.arange(len(label)), np.diff(at))
-    ones = 1.0 + np.bincount(numbers[label[owner] == 1], minlength=1 << BITS)
-    zeros = 1.0 + np.bincount(numbers[label[owner] == 0], minlength=1 << BITS)
+    owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(at))
+    good = (label == 1)[owner]
+    ones = 1.0 + np.bincount(numbers[good], minlength=1 << BITS)
+    zeros = 1.0 + np.bincount(numbers[~good], minlength=1 << BITS)
     ratio = np.log((ones / ones.sum()) / (zeros / zeros.sum())).astype(np.float32)
     value = ratio[numbers] / _unit(numbers, at, ratio)[owner]
     y = np.where(label == 1, 1.0, -1.0)
