@@ -11,11 +11,13 @@ size is the vocabulary's), the edges are grouped by unit, and a higher-order
 lattice's nodes.  The scores of a BPE model are merge ranks, for which the best
 path is not the model's segmentation; there the fold applies the lattice's edges
 as merges, best rank first, which is.  Characters without a piece become bytes.
+An ``aggregate`` copies its state at each step; of units of more than ``SHORT``
+characters the same edges are folded with a heap or by nodes instead.
 
-The lattice encodes the ``TABLE_UNITS`` most frequent units of the corpus, whose
-table is bounded and broadcast.  Any other unit (the long tail of words, and
-units of more than ``LONG`` characters) is encoded where it occurs, by the same
-piece table and rule, so the bound drops nothing.
+The lattice encodes every unit.  The ids of the ``TABLE_UNITS`` most frequent
+ones are broadcast.  Any other unit is cut where two neighbouring characters are
+in no piece, and its *parts* go through the lattice once each; their ids come
+back to the documents by a join on blocks of documents (``BLOCK_BYTES``).
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 null ids are kept; repeated rows give repeated results; an empty table gives an
@@ -27,9 +29,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import operator
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +40,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tessera.llm import _store
 from tessera.llm import _text as tx
@@ -44,8 +48,12 @@ from tessera.llm import _text as tx
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 TABLE_UNITS, LONG = 20_000, 40
-#: Units a task counts or remembers before it hands counts on or forgets.
+#: Units a task counts or remembers before it hands them on.
 MEMORY = 200_000
+#: Text of a block of documents, which one call encodes with the ids of the block's own units.
+BLOCK_BYTES = 4 << 20
+#: Characters of a unit whose borders fit a long; starts of pieces in a window of a longer unit.
+SHORT, WINDOW = 60, 64
 _NEVER = float("inf")
 _UNIT = re.compile("▁*[^▁]+|▁+")
 
@@ -71,6 +79,7 @@ class Pieces:
 
     def prepare(self) -> Pieces:
         self.cost = {t: -self.score[i] for t, i in self.usable.items()}
+        self.pairs = {x for t in self.usable for x in map(operator.add, t, t[1:])}
         back = {v: k for k, v in self.byte.items()}
         self.decoded = [bytes([back[i]]) if i in back else (t.replace(MARK, " ").encode() if self.usable.get(t) == i else (b" \xe2\x81\x87 " if i == self.unknown else None)) for i, t in enumerate(self.text)]
         return self
@@ -100,6 +109,65 @@ def load_model(path: str = MODEL) -> Pieces:
     return p.prepare()
 
 
+Edge = Callable[[int, int], int | None]
+
+
+def merge_borders(n: int, edge: Edge, score: list[float]) -> list[int]:
+    """Borders after all merges, by a heap of pairs over a linked list: n log n for units of any length."""
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n:
+            found = edge(i, after[j])
+            if found is not None:
+                heapq.heappush(heap, (-score[found], i, j, after[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, j, k = heapq.heappop(heap)
+        if after[i] != j or after[j] != k:
+            continue
+        after[i], after[j] = k, -1  # j starts no piece any more
+        if k < n:
+            before[k] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    out = [0]
+    while out[-1] < n:
+        out.append(after[out[-1]])
+    return out
+
+
+def viterbi_borders(n: int, edge: Edge, score: list[float], longest: int, low: float) -> list[int]:
+    """Borders of the best path; of equal scores the longest last piece."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for j in range(1, n + 1):
+        top = None
+        for i in range(max(0, j - longest), j):
+            found = edge(i, j)
+            cost = score[found] if found is not None else low if j - i == 1 else None
+            if cost is not None and (top is None or best[i][0] + cost > top[0]):
+                top = (best[i][0] + cost, i)
+        best.append(top)
+    out = [n]
+    while out[-1]:
+        out.append(best[out[-1]][1])
+    return out[::-1]
+
+
+def cut(unit: str, pairs: set[str]) -> list[str]:
+    """Parts of a unit: no piece reaches over a border between characters that are neighbours in no piece."""
+    inside = [*map(pairs.__contains__, map(operator.add, unit, unit[1:]))]
+    if all(inside):
+        return [unit]
+    borders = [0, *(i for i, x in enumerate(inside, 1) if not x), len(unit)]
+    return [unit[i:j] for i, j in zip(borders, borders[1:])]
+
+
 def encode_bpe(unit: str, p: Pieces) -> list[int]:
     """Merge the best-ranked neighbouring pair (leftmost of equals) until none is a piece."""
     score, usable = p.score, p.usable
@@ -114,33 +182,9 @@ def encode_bpe(unit: str, p: Pieces) -> list[int]:
                 pairs[i - 1] = cost.get(parts[i - 1] + parts[i], _NEVER)
             if i < len(pairs):
                 pairs[i] = cost.get(parts[i] + parts[i + 1], _NEVER)
-    else:  # a heap of pairs over a linked list: n log n for units of any length
-        text = list(unit)
-        after, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(text):
-                both = text[i] + text[j]
-                found = usable.get(both)
-                if found is not None:
-                    heapq.heappush(heap, (-score[found], i, j, both))
-
-        for i in range(len(text) - 1):
-            offer(i)
-        while heap:
-            _, i, j, both = heapq.heappop(heap)
-            if text[i] is None or after[i] != j or text[j] is None or text[i] + text[j] != both:
-                continue
-            text[i], text[j] = both, None
-            after[i] = after[j]
-            if after[i] < len(text):
-                before[after[i]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        parts = [x for x in text if x is not None]
+    else:
+        borders = merge_borders(len(unit), lambda i, j: usable.get(unit[i:j]), score)
+        parts = [unit[i:j] for i, j in zip(borders, borders[1:])]
     out: list[int] = []
     for x in parts:
         found = usable.get(x)
@@ -150,24 +194,19 @@ def encode_bpe(unit: str, p: Pieces) -> list[int]:
 
 def encode_unigram(unit: str, p: Pieces) -> list[int]:
     """Viterbi over the pieces of a unit; of equal scores the longest last piece."""
-    low = min(p.score[i] for i in p.usable.values()) - 10.0
-    best: list[tuple[float, int, int | None]] = [(0.0, 0, None)]
-    for j in range(1, len(unit) + 1):
-        top = None
-        for i in range(max(0, j - p.longest), j):
-            found = p.usable.get(unit[i:j])
-            cost = p.score[found] if found is not None else low if j - i == 1 else None
-            if cost is not None and (top is None or best[i][0] + cost > top[0]):
-                top = (best[i][0] + cost, i, found)
-        best.append(top)
-    out, j = [], len(unit)
-    while j:
-        _, i, found = best[j]
-        out[:0] = p.fallback(unit[i:j]) if found is None else [found]
-        j = i
+    borders = viterbi_borders(len(unit), lambda i, j: p.usable.get(unit[i:j]), p.score, p.longest, lowest(p))
+    out: list[int] = []
+    for i, j in zip(borders, borders[1:]):
+        found = p.usable.get(unit[i:j])
+        out += p.fallback(unit[i:j]) if found is None else [found]
     return out
 
 
+def lowest(p: Pieces) -> float:
+    """Score of a character without a piece."""
+    return min(p.score[i] for i in p.usable.values()) - 10.0
+
+
 def encode_unit(unit: str, p: Pieces) -> list[int]:
     return encode_bpe(unit, p) if p.kind == "bpe" else encode_unigram(unit, p)
 
@@ -177,21 +216,28 @@ def units(text: str) -> list[str]:
 
 
 def piece_table(spark: SparkSession, p: Pieces) -> DataFrame:
-    """(piece, id, score): the vocabulary as a relation."""
-    return spark.createDataFrame([(t, i, float(p.score[i])) for t, i in p.usable.items()], "piece string, id int, score double")
-
-
-def _merge_fold(edges: Column, length: Column) -> Column:
-    """Borders of the pieces after all merges; edges are sorted by rank, then start."""
-
-    def step(borders: Column, _: Column) -> Column:
-        spot = lambda e: F.array_position(borders, e["i"])
-        fits = F.filter(edges, lambda e: (spot(e) > 0) & (F.array_position(borders, e["j"]) == spot(e) + 2))
-        # the first edge that joins two neighbouring pieces is the best
-        first = F.get(fits, F.lit(0))
-        return F.when(first.isNull(), borders).otherwise(F.filter(borders, lambda x: (x <= first["i"]) | (x >= first["j"])))
-
-    return F.aggregate(F.sequence(F.lit(1), length), F.sequence(F.lit(0), length), step)
+    """(piece, id, rank): the vocabulary as a relation, and the empty piece of first edges; equal scores have equal ranks."""
+    rank = {x: r for r, x in enumerate(sorted({p.score[i] for i in p.usable.values()}, reverse=True))}
+    return spark.createDataFrame([("", 0, 0), *((t, i, rank[p.score[i]]) for t, i in p.usable.items())], "piece string, id int, rank long")
+
+
+# Edges are packed: rank, start, end (6 bits each) and id (20 bits), so that they sort by rank, then start.
+_START, _END = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)"
+#: Borders are bits of a long.  An edge whose ends are borders, with one border between, joins two neighbouring pieces;
+#: the first such edge is the best.  Edges with an end that is no border any more can't come back.
+_MERGES = f"""
+aggregate(
+  array_repeat(0, n - 1),
+  named_struct('borders', shiftleft(1L, n + 1) - 1, 'left', transform(
+    filter(edges, e -> {_END} - {_START} > 1),
+    e -> named_struct('ends', shiftleft(1L, {_START}) + shiftleft(1L, {_END}), 'inside', shiftleft(1L, {_END}) - shiftleft(2L, {_START})))),
+  (s, _) -> if(size(s.left) = 0, s, transform(
+    array(get(filter(s.left, e -> bit_count(s.borders & e.inside) = 1), 0)),
+    e -> if(e is null, named_struct('borders', s.borders, 'left', slice(s.left, 1, 0)), transform(
+      array(s.borders & ~e.inside),
+      b -> named_struct('borders', b, 'left', filter(s.left, e -> b & e.ends = e.ends and b & e.inside != 0)))[0]))[0]),
+  s -> filter(sequence(0, n), i -> shiftright(s.borders, i) & 1 = 1))
+"""
 
 
 def _viterbi_fold(edges: Column, length: Column, low: float) -> Column:
@@ -210,52 +256,87 @@ def _viterbi_fold(edges: Column, length: Column, low: float) -> Column:
     return back
 
 
-def encode_units(distinct: DataFrame, p: Pieces) -> DataFrame:
-    """(unit, ids) of distinct units: the relational lattice.
+def _windows(own: DataFrame, most: int, step: int, p: Pieces) -> DataFrame:
+    """Cuts ``body`` into windows of ``step`` starts of pieces, of its first ``most`` starts."""
+    first = F.sequence(F.lit(0), F.least(F.char_length("body"), F.lit(most)) - 1, F.lit(step))
+    window = lambda b: F.struct((F.col("base") + b).alias("base"), F.substring("body", b + 1, F.lit(step + p.longest - 1)).alias("body"))
+    return own.select("key", "n", "row", F.inline(F.transform(first, window)))
+
+
+def encode_units(distinct: DataFrame, p: Pieces, shares: int | None = None) -> DataFrame:
+    """(unit, ids, the other columns) of distinct units: the relational lattice.
 
-    The units stay where they are: the piece table is broadcast (its size is the
-    vocabulary's), and grouping by unit reuses the partitioning by unit.
+    The piece table is broadcast (its size is the vocabulary's), and grouping by
+    unit reuses the partitioning by unit.  Long units go by their SHA-256 and in
+    windows.  A first edge of no characters keeps units without a piece, and alone
+    carries the row.  ``shares`` is the number of partitions: a unit's edges take
+    many times its own size, by which Spark would choose it.
     """
-    spark = distinct.sparkSession
-    own = distinct.select("unit", F.char_length("unit").alias("n")).where("n > 0").repartition("unit")
-    starts = own.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    spans = starts.select("unit", "n", "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("n"), F.col("i") + p.longest))).alias("j"))
-    cut = spans.withColumn("piece", F.expr("substring(unit, i + 1, j - i)"))
-    edges = cut.join(F.broadcast(piece_table(spark, p)), "piece")
-    lattice = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "i", "j", "id", "score"))).alias("edges"))
-    lattice = own.join(lattice.select("unit", "edges"), "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<rank:double,i:int,j:int,id:int,score:double>>")))
-    low = min(p.score[i] for i in p.usable.values()) - 10.0
-    fold = _merge_fold(F.col("edges"), F.col("n")) if p.kind == "bpe" else _viterbi_fold(F.col("edges"), F.col("n"), low)
-    folded = lattice.withColumn("borders", fold)
-    byte = F.array(*(F.lit(p.byte.get(b, p.unknown)) for b in range(256)))
-    code = lambda text: F.encode(text, "UTF-8")
-    as_bytes = lambda text: F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda k: F.get(byte, F.conv(F.hex(F.substring(code(text), k, F.lit(1))), 16, 10).cast("int"))) if p.byte else F.array(F.lit(p.unknown))
-
-    def piece_ids(i: Column, k: Column) -> Column:
-        j = F.get(F.col("borders"), k + 1)
-        hit = F.get(F.filter("edges", lambda e: (e["i"] == i) & (e["j"] == j)), F.lit(0))
-        return F.when(hit.isNotNull(), F.array(hit["id"])).otherwise(as_bytes(F.substring(F.col("unit"), i + 1, j - i)))
-
-    ids = F.flatten(F.transform(F.slice("borders", F.lit(1), F.size("borders") - 1), piece_ids))
-    return folded.select("unit", ids.alias("ids"))
+    if p.longest > SHORT or len(p.text) > 1 << 20:
+        raise ValueError("pieces of over 60 characters or over a million pieces")
+    spark, columns, bpe = distinct.sparkSession, distinct.columns, p.kind == "bpe"
+    n, i, j, size, whole = F.col("n"), F.col("i"), F.col("j"), F.char_length("body"), F.char_length("unit")
+    own = distinct.where(whole > 0).select(F.when(whole <= SHORT, F.col("unit")).otherwise(F.sha2("unit", 256)).alias("key"), whole.alias("n"), F.struct(*columns).alias("row"))
+    own = own.repartition(shares, "key") if shares else own.repartition("key")
+    own = _windows(own.select("*", F.lit(0).alias("base"), F.col("row.unit").alias("body")), 1 << 30, WINDOW * WINDOW, p)
+    own = _windows(own, WINDOW * WINDOW, WINDOW, p)  # in two levels, since a substring is found from the text's beginning
+    starts = own.select("*", F.explode(F.sequence(F.lit(0), F.least(size, F.lit(WINDOW)) - 1)).alias("i"))
+    low, high = F.when(F.col("base") + i == 0, F.lit(0)).otherwise(i + (2 if bpe else 1)), F.least(size, i + p.longest)
+    spans = starts.select("*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("j"))
+    at = (F.col("base") + i).cast("long")
+    place = F.when(n <= SHORT, at * 64 + j).otherwise(at * 64 + (j - i))
+    spans = spans.select("key", "n", F.when((at == 0) & (j == 0), F.col("row")).alias("row"), place.alias("place"), F.expr("coalesce(substring(body, i + 1, j - i), '')").alias("piece"))
+    edges = spans.join(F.broadcast(piece_table(spark, p)), "piece")
+    edge = F.when(n <= SHORT, F.shiftleft("rank", 32)).otherwise(F.lit(0)) + F.shiftleft("place", 20) + F.col("id")
+    lattice = edges.groupBy(F.xxhash64("key"), "key").agg(F.first("n").alias("n"), F.first("row", ignorenulls=True).alias("row"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    score = F.split(F.lit(",".join(map(repr, p.score))), ",").cast("array<double>")
+    apart = lambda e: F.struct(F.shiftright(e, 26).bitwiseAND(F.lit(63)).cast("int").alias("i"), F.shiftright(e, 20).bitwiseAND(F.lit(63)).cast("int").alias("j"), F.get(score, e.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")).alias("score"))
+    borders = F.expr(_MERGES) if bpe else _viterbi_fold(F.transform("edges", apart), n, lowest(p))
+    folded = lattice.select(F.when(n <= SHORT, borders).alias("__borders"), F.when(n > SHORT, F.col("edges")).alias("__edges"), "row.*")
+    shared = spark.sparkContext.broadcast(p)
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        get = p.usable.get
+        for batch in batches:
+            flat, ends = [], [0]
+            units = batch.column(2 + columns.index("unit"))
+            for borders, edges, unit in zip(batch.column(0).to_pylist(), batch.column(1), units.to_pylist()):
+                if borders is None:
+                    borders = long_borders(len(unit), edges.values.to_numpy(), p)
+                for a, b in zip(borders, borders[1:]):
+                    hit = get(unit[a:b])
+                    if hit is None:
+                        flat += p.fallback(unit[a:b])
+                    else:
+                        flat.append(hit)
+                ends.append(len(flat))
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([found, *batch.columns[2:]], ["ids", *columns])
+
+    return folded.mapInArrow(ids, StructType([StructField("ids", ArrayType(IntegerType())), *distinct.schema.fields]))
+
+
+def long_borders(n: int, edges: np.ndarray, p: Pieces) -> list[int]:
+    """The fold of a long unit's edges, whose low 20 bits are the id, above 6 bits of length and the start."""
+    get = dict(zip((edges >> 20).tolist(), (edges & ((1 << 20) - 1)).tolist())).get
+    longest = p.longest
+    edge = lambda i, j: get(i << 6 | j - i) if j - i <= longest else None
+    return merge_borders(n, edge, p.score) if p.kind == "bpe" else viterbi_borders(n, edge, p.score, longest, lowest(p))
 
 
 class _Memory(dict):
-    """Ids of words (a unit without its first mark) as int32 bytes; unknown words are encoded and remembered."""
+    """Ids of words (a unit without its first mark) as int32 bytes; those of other words come from their parts."""
 
-    def __init__(self, table: dict[str, bytes], pieces: Pieces) -> None:
+    def __init__(self, table: dict[str, bytes], parts: dict[str, bytes], pairs: set[str]) -> None:
         super().__init__(table)
-        self.table, self.pieces = table, pieces
+        self.parts, self.pairs = parts, pairs
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = np.array(encode_unit(MARK + word, self.pieces), np.int32).tobytes()
+        parts = self.parts
+        out = self[word] = b"".join([parts[x] if x in parts else self[x[1:]] for x in cut(MARK + word, self.pairs)])
         return out
 
-    def trim(self) -> None:
-        if len(self) > len(self.table) + MEMORY:
-            self.clear()
-            self.update(self.table)
-
 
 def _words(text: str) -> list[str]:
     """Units of a text, each without its first mark."""
@@ -300,22 +381,50 @@ def encode(docs: DataFrame, model: str = MODEL, table_units: int = TABLE_UNITS)
     p = load_model(model)
     lattice = encode_units(frequent_units(docs, table_units), p)
     table = {r.unit[1:]: np.array(r.ids, np.int32).tobytes() for r in lattice.toLocalIterator()}  # at most table_units rows
-    shared = spark.sparkContext.broadcast((table, p))
+    shared = spark.sparkContext.broadcast((table, p.pairs))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = n_bytes // BLOCK_BYTES + 1
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, pairs = shared.value
+        words: dict[int, set[str]] = defaultdict(set)
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for block, own in words.items():
+                parts = {x for w in own for x in cut(MARK + w, pairs)}
+                parts = [x for x in parts if x[0] != MARK or x[1:] not in table]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.string())], ["block", "unit"])
+            words.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Memory(*shared.value)
-        get = known.__getitem__
         for batch in batches:
+            for text, block in zip(batch.column(1), batch.column(2).to_pylist()):
+                words[block].update(set(_words(text.as_py())).difference(table))
+                if sum(map(len, words.values())) > MEMORY:
+                    yield from hand_on()
+        yield from hand_on()
+
+    rest = docs.mapInArrow(rare, "block long, unit string").groupBy("unit").agg(F.collect_set("block").alias("blocks"))
+    coded = encode_units(rest, p, blocks // 2 + 1).select(F.explode("blocks").alias("block"), "unit", "ids")
+
+    def assemble(own: pa.Table, coded: pa.Table) -> pa.Table:
+        table, pairs = shared.value
+        parts: dict[str, bytes] = {}
+        for batch in coded.to_batches():
+            flat, ends = batch.column(2).flatten().to_numpy(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy())))
+            parts.update(zip(batch.column(1).to_pylist(), (flat[x:y].tobytes() for x, y in zip(ends, ends[1:]))))
+        get = _Memory(table, parts, pairs).__getitem__
+        out = []
+        for batch in own.to_batches():
             data, offsets = tx.text_buffers(batch.column(1))
             for a, b in tx.slices(offsets):
-                bodies = []
-                for i in range(a, b):
-                    bodies.append(b"".join(map(get, _words(data[offsets[i] : offsets[i + 1]].tobytes().decode()))))
-                    known.trim()
+                bodies = [b"".join(map(get, _words(data[offsets[i] : offsets[i + 1]].tobytes().decode()))) for i in range(a, b)]
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in bodies]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(bodies), np.int32)))], ["doc_id", "ids"])
+                out.append(pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(bodies), np.int32)))], ["doc_id", "ids"]))
+        return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

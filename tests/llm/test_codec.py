@@ -45,6 +45,36 @@ def test_lattice_encodes_each_unit(spark, pieces):
     assert got == {w: sc.encode_unit(w, pieces) for w in words}
 
 
+def test_every_unit_goes_through_the_lattice(spark, monkeypatch):
+    """No unit is encoded beside it: rare ones, whole long ones, ones without a piece."""
+    import sentencepiece
+
+    lattice, seen = sc.encode_units, set()
+
+    def watched(distinct, *rest):
+        seen.update(r.unit for r in distinct.collect())
+        return lattice(distinct, *rest)
+
+    monkeypatch.setattr(sc, "encode_units", watched)
+    lib = sentencepiece.SentencePieceProcessor(model_file=sc.MODEL)
+    rng = random.Random(11)
+    texts = ["the cat the cat the cat rarely", "internationalisation" * 500, "".join(rng.choice("abcdeinrst") for _ in range(5000)), "①①", "▁▁ x", " " * 200, "zq" * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in sc.encode(docs).collect()} == {i: lib.encode(t) for i, t in enumerate(texts)}
+    pairs = sc.load_model().pairs
+    assert {x for t in texts for u in sc.units(t) for x in sc.cut(u, pairs)} <= seen | {x for u in seen for x in sc.cut(u, pairs)}
+
+
+def test_long_units_of_a_unigram_model(spark):
+    table = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -5.0, "c": -2.0, "bc": -2.4, "aa": -1.9}
+    p = sc.Pieces("unigram", ["<unk>", *table], [0.0, *table.values()])
+    p.usable = {t: i + 1 for i, t in enumerate(table)}
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcx") for _ in range(n)) for n in (61, 130, 4200)]
+    got = {r.unit: r.ids for r in sc.encode_units(spark.createDataFrame([(w,) for w in words], "unit string"), p).collect()}
+    assert got == {w: sc.encode_unit(w, p) for w in words}
+
+
 def test_viterbi_lattice(spark):
     table = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -5.0, "c": -2.0, "bc": -2.4, "aa": -1.9}
     p = sc.Pieces("unigram", ["<unk>", *table], [0.0, *table.values()])
