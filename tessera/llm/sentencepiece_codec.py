@@ -17,7 +17,11 @@ characters the same edges are folded with a heap or by nodes instead.
 The lattice encodes every unit.  The ids of the ``TABLE_UNITS`` most frequent
 ones are broadcast.  Any other unit is cut where two neighbouring characters are
 in no piece, and its *parts* go through the lattice once each; their ids come
-back to the documents by a join on blocks of documents (``BLOCK_BYTES``).
+back by a join on blocks of documents (``BLOCK_BYTES``).  Texts aren't shuffled:
+where it is read, a block becomes one row with a number for each of its units and
+a list of its own parts, compressed, and its ids come back by the parts' places
+in that list.  A block's key is a hash of the row, so that a block that is read
+again in another order can't take ids of the first; it would miss them and raise.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 null ids are kept; repeated rows give repeated results; an empty table gives an
@@ -27,13 +31,17 @@ raises IndexError.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import heapq
 import operator
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +59,7 @@ TABLE_UNITS, LONG = 20_000, 40
 #: Units a task counts or remembers before it hands them on.
 MEMORY = 200_000
 #: Text of a block of documents, which one call encodes with the ids of the block's own units.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 #: Characters of a unit whose borders fit a long; starts of pieces in a window of a longer unit.
 SHORT, WINDOW = 60, 64
 _NEVER = float("inf")
@@ -270,14 +278,17 @@ def encode_units(distinct: DataFrame, p: Pieces, shares: int | None = None) -> D
     unit reuses the partitioning by unit.  Long units go by their SHA-256 and in
     windows.  A first edge of no characters keeps units without a piece, and alone
     carries the row.  ``shares`` is the number of partitions: a unit's edges take
-    many times its own size, by which Spark would choose it.
+    many times its own size, by which Spark would choose it.  Units that already
+    lie by a column ``key`` (``unit_key``) stay where they are; it isn't returned.
     """
     if p.longest > SHORT or len(p.text) > 1 << 20:
         raise ValueError("pieces of over 60 characters or over a million pieces")
-    spark, columns, bpe = distinct.sparkSession, distinct.columns, p.kind == "bpe"
+    spark, columns, bpe = distinct.sparkSession, [c for c in distinct.columns if c != "key"], p.kind == "bpe"
     n, i, j, size, whole = F.col("n"), F.col("i"), F.col("j"), F.char_length("body"), F.char_length("unit")
-    own = distinct.where(whole > 0).select(F.when(whole <= SHORT, F.col("unit")).otherwise(F.sha2("unit", 256)).alias("key"), whole.alias("n"), F.struct(*columns).alias("row"))
-    own = own.repartition(shares, "key") if shares else own.repartition("key")
+    if "key" not in distinct.columns:
+        distinct = distinct.withColumn("key", F.when(whole <= SHORT, F.col("unit")).otherwise(F.sha2("unit", 256)))
+        distinct = distinct.repartition(shares, "key") if shares else distinct.repartition("key")
+    own = distinct.where(whole > 0).select("key", whole.alias("n"), F.struct(*columns).alias("row"))
     own = _windows(own.select("*", F.lit(0).alias("base"), F.col("row.unit").alias("body")), 1 << 30, WINDOW * WINDOW, p)
     own = _windows(own, WINDOW * WINDOW, WINDOW, p)  # in two levels, since a substring is found from the text's beginning
     starts = own.select("*", F.explode(F.sequence(F.lit(0), F.least(size, F.lit(WINDOW)) - 1)).alias("i"))
@@ -314,7 +325,7 @@ def encode_units(distinct: DataFrame, p: Pieces, shares: int | None = None) -> D
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([found, *batch.columns[2:]], ["ids", *columns])
 
-    return folded.mapInArrow(ids, StructType([StructField("ids", ArrayType(IntegerType())), *distinct.schema.fields]))
+    return folded.mapInArrow(ids, StructType([StructField("ids", ArrayType(IntegerType())), *(distinct.schema[c] for c in columns)]))
 
 
 def long_borders(n: int, edges: np.ndarray, p: Pieces) -> list[int]:
@@ -325,17 +336,122 @@ def long_borders(n: int, edges: np.ndarray, p: Pieces) -> list[int]:
     return merge_borders(n, edge, p.score) if p.kind == "bpe" else viterbi_borders(n, edge, p.score, longest, lowest(p))
 
 
-class _Memory(dict):
-    """Ids of words (a unit without its first mark) as int32 bytes; those of other words come from their parts."""
+def unit_key(unit: str) -> str:
+    """The unit, or the SHA-256 of a long one."""
+    return unit if len(unit) <= SHORT else hashlib.sha256(unit.encode()).hexdigest()
 
-    def __init__(self, table: dict[str, bytes], parts: dict[str, bytes], pairs: set[str]) -> None:
-        super().__init__(table)
-        self.parts, self.pairs = parts, pairs
 
-    def __missing__(self, word: str) -> bytes:
-        parts = self.parts
-        out = self[word] = b"".join([parts[x] if x in parts else self[x[1:]] for x in cut(MARK + word, self.pairs)])
-        return out
+def _release() -> None:
+    """Gives freed memory back to the system: a worker is used again, and would keep the most it ever took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _newest(x: np.ndarray, known: int) -> np.ndarray:
+    """Numbers given in order of appearance, each raised by one; 0 where a number from ``known`` on appears first."""
+    top = np.maximum.accumulate(x)
+    top[1:], top[:1] = top[:-1].copy(), -1
+    return np.where((x >= known) & (x > top), np.int32(0), x + np.int32(1))
+
+
+def _numbers(x: np.ndarray, known: int) -> np.ndarray:
+    """Undoes ``_newest``."""
+    first = x == 0
+    return np.where(first, np.cumsum(first, dtype=np.int32) + np.int32(known - 1), x - np.int32(1))
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """All first bytes of some int32, then all second bytes and so on: compresses better."""
+    return np.ascontiguousarray(x, np.int32).view(np.uint8).reshape(-1, 4).T.ravel()
+
+
+def _joined(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _ends(size: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Elements of [start, start + size), range after range."""
+    ends = _ends(size)
+    return np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
+
+
+class _Cutter:
+    """``cut`` for many units at once: the pairs as a matrix over the characters in them."""
+
+    def __init__(self, pairs: set[str]) -> None:
+        chars = sorted({ord(c) for x in pairs for c in x})
+        self.number = np.zeros(0x110000, np.int32)  # 0: in no pair
+        self.number[chars] = np.arange(1, len(chars) + 1)
+        self.inside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        first, second = (self.number[[ord(x[i]) for x in pairs]] for i in (0, 1))
+        self.inside[first, second] = True
+
+    def __call__(self, words: list[str]) -> tuple[Iterator[str], np.ndarray]:
+        """All parts of units, given without their first mark, and how many each unit has."""
+        text, ends = MARK + MARK.join(words), _ends(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        char = self.number[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        border = np.ones(ends[-1] + 1, bool)
+        border[1:-1] = ~self.inside[char[:-1], char[1:]][: len(border) - 2]
+        border[ends] = True
+        at = np.flatnonzero(border)
+        return (text[i:j] for i, j in pairwise(at.tolist())), np.diff(np.searchsorted(at, ends))
+
+
+_BLOCK = pa.schema([("parts", pa.string()), ("lengths", pa.list_(pa.uint8())), ("doc_id", pa.list_(pa.int64())), *((x, pa.list_(pa.uint8())) for x in ("n_units", "units", "n_parts", "cuts"))])
+#: Words cut at once.
+CUT = 1 << 15
+
+
+class _Block:
+    """Documents as numbers of units: first those of the table, then the block's own, whose parts are numbered likewise."""
+
+    def __init__(self, table: dict[str, int], marked: dict[str, int]) -> None:
+        self.known, self.marked = len(table), marked
+        self.number = defaultdict(count(self.known).__next__, table)
+        self.units, self.n_units, self.doc_id, self.n_bytes = array("i"), array("i"), [], 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        before = len(self.units)
+        self.units.extend(map(self.number.__getitem__, _words(text)))
+        self.n_units.append(len(self.units) - before)
+        self.doc_id.append(doc_id)
+        self.n_bytes += len(text)
+
+    def row(self, cutter: _Cutter) -> pa.RecordBatch:
+        """(block, body)."""
+        number = defaultdict(count(self.known).__next__, self.marked)
+        words, cuts, n_parts = list(self.number)[self.known :], array("i"), []
+        self.number.clear()
+        for first in range(0, len(words), CUT):
+            parts, n = cutter(words[first : first + CUT])
+            cuts.extend(map(number.__getitem__, parts))
+            n_parts.append(n)
+        del words
+        parts = list(number)[self.known :]
+        del number
+        numbers = {"lengths": np.fromiter(map(len, parts), np.int32, len(parts)), "n_units": np.frombuffer(self.n_units, np.int32), "units": _newest(np.frombuffer(self.units, np.int32), self.known)}
+        numbers |= {"n_parts": np.concatenate([np.zeros(0, np.int32), *n_parts]), "cuts": _newest(np.frombuffer(cuts, np.int32), self.known)}
+        lists = {"doc_id": pa.array(self.doc_id, pa.int64()), **{k: pa.array(_planes(x)) for k, x in numbers.items()}}
+        lists = {k: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for k, x in lists.items()}
+        lists["parts"] = pa.array(["".join(parts)], pa.string())
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(pa.RecordBatch.from_arrays([lists[x] for x in _BLOCK.names], schema=_BLOCK))
+        body = sink.getvalue().to_pybytes()
+        block = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), signed=True)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([body], pa.binary())], ["block", "body"])
+
+
+def _opened(body: pa.Scalar, *names: str) -> list[pa.Array]:
+    """Columns of a block's body."""
+    options = pa.ipc.IpcReadOptions(included_fields=[_BLOCK.get_field_index(x) for x in names])
+    batch = pa.ipc.open_stream(body.as_buffer(), options=options).read_next_batch()
+    return [batch.column(x) if x == "parts" else batch.column(x).flatten() for x in names]
 
 
 def _words(text: str) -> list[str]:
@@ -348,7 +464,7 @@ def _words(text: str) -> list[str]:
 
 
 def frequent_units(docs: DataFrame, most: int = TABLE_UNITS) -> DataFrame:
-    """(unit): at most ``most`` of the units that occur most, those above the lowest power of two that keeps the bound.
+    """(unit, n): at most ``most`` of the units that occur most, with how often, those above the lowest power of two that keeps the bound.
 
     Every task counts its whole texts and drops rare units as they overflow; the
     threshold comes from a histogram of the counts, so nothing is sorted.
@@ -357,11 +473,13 @@ def frequent_units(docs: DataFrame, most: int = TABLE_UNITS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                count.update(_words(text or ""))
+            for text in batch.column(0):
+                count.update(_words(text.as_py() or ""))
                 if len(count) > MEMORY:  # lossy counting: what is left is still the frequent part
                     count = Counter({u: n for u, n in count.items() if n > 2})
         rows = [(MARK + u, n) for u, n in count.most_common(most) if n > 2 and len(u) < LONG]
+        del count
+        _release()
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["unit", "n"])
 
     counts = docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -372,59 +490,113 @@ def frequent_units(docs: DataFrame, most: int = TABLE_UNITS) -> DataFrame:
         if total > most:
             least = row.level + 1
             break
-    return counts.where(F.col("level") >= least).select("unit")
+    return counts.where(F.col("level") >= least).select("unit", "n")
 
 
 def encode(docs: DataFrame, model: str = MODEL, table_units: int = TABLE_UNITS) -> DataFrame:
     """(doc_id, ids) of every whole text."""
-    spark = docs.sparkSession
+    spark, limit = docs.sparkSession, BLOCK_BYTES
     p = load_model(model)
     lattice = encode_units(frequent_units(docs, table_units), p)
-    table = {r.unit[1:]: np.array(r.ids, np.int32).tobytes() for r in lattice.toLocalIterator()}  # at most table_units rows
+    frequent = sorted(((-r.n, r.unit[1:], r.ids) for r in lattice.toLocalIterator()))  # at most table_units rows
+    table = {unit: k for k, (_, unit, _) in enumerate(frequent)}
+    table_size = np.array([len(x) for _, _, x in frequent], np.int64)
+    table_ids = np.array([i for _, _, x in frequent for i in x], np.int32)
     shared = spark.sparkContext.broadcast((table, p.pairs))
+    shared_ids = spark.sparkContext.broadcast((table_size, table_ids))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = n_bytes // BLOCK_BYTES + 1
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
+    shares = n_bytes // (8 << 20) + 1
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, pairs = shared.value
-        words: dict[int, set[str]] = defaultdict(set)
+        marked, cutter = {MARK + x: k for x, k in table.items()}, _Cutter(pairs)
+        block = _Block(table, marked)
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block.add(doc_id, text.as_py())
+                if block.n_bytes >= limit:
+                    yield block.row(cutter)
+                    block = _Block(table, marked)
+                    _release()
+        if block.doc_id:
+            yield block.row(cutter)
+        del block
+        _release()
+
+    blocks = docs.mapInArrow(numbered, "block long, body binary").repartition(shares, "block")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text, lengths = _opened(body, "parts", "lengths")
+                text, ends = text[0].as_py(), _ends(_joined(lengths.to_numpy()))
+                for first in range(0, len(ends) - 1, CUT):
+                    some = [text[i:j] for i, j in pairwise(ends[first : first + CUT + 1].tolist())]
+                    keys = [*map(unit_key, some)]
+                    whole = [None if x is k else x for x, k in zip(some, keys)]
+                    own = pa.array([block] * len(some), pa.int64()), pa.array(range(first, first + len(some)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(whole, pa.string()), *own], ["key", "whole", "block", "place"])
+
+    rest = blocks.mapInArrow(listed, "key string, whole string, block long, place int").repartition(shares, "key")
+    rest = rest.groupBy("key").agg(F.coalesce(F.first("whole", ignorenulls=True), F.col("key")).alias("unit"), F.collect_list(F.struct("block", "place")).alias("at"))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block, with steps between places of its parts, their numbers of ids and the ids."""
+        held: list[tuple[np.ndarray, ...]] = []
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            for block, own in words.items():
-                parts = {x for w in own for x in cut(MARK + w, pairs)}
-                parts = [x for x in parts if x[0] != MARK or x[1:] not in table]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(parts), pa.int64()), pa.array(parts, pa.string())], ["block", "unit"])
-            words.clear()
+            if not held:
+                return
+            block, place, size, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((place, block))
+            ids, block, place, size = ids[_ranges(_ends(size)[:-1][order], size[order])], block[order], place[order], size[order]
+            at = np.concatenate((np.flatnonzero(np.diff(block, prepend=~block[:1])), [len(block)]))
+            ends = _ends(size)
+            rows = [(np.diff(place[a:b], prepend=np.int32(0)), size[a:b], ids[ends[a] : ends[b]]) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), *(pa.array([_planes(x).tobytes() for x in xs], pa.binary()) for xs in zip(*rows))], ["block", "place", "size", "ids"])
 
         for batch in batches:
-            for text, block in zip(batch.column(1), batch.column(2).to_pylist()):
-                words[block].update(set(_words(text.as_py())).difference(table))
-                if sum(map(len, words.values())) > MEMORY:
-                    yield from hand_on()
+            own, n_ids = (pa.compute.list_value_length(batch.column(i)).to_numpy() for i in (2, 0))
+            at, row = batch.column(2).flatten(), np.repeat(np.arange(len(own)), own)
+            size, flat = n_ids[row].astype(np.int64), batch.column(0).flatten().to_numpy()
+            held.append((at.field(0).to_numpy(), at.field(1).to_numpy(), size, flat[_ranges(_ends(n_ids)[:-1][row], size)]))
+            if sum(len(x[0]) for x in held) > 5 * MEMORY:
+                yield from hand_on()
         yield from hand_on()
 
-    rest = docs.mapInArrow(rare, "block long, unit string").groupBy("unit").agg(F.collect_set("block").alias("blocks"))
-    coded = encode_units(rest, p, blocks // 2 + 1).select(F.explode("blocks").alias("block"), "unit", "ids")
+    coded = encode_units(rest, p).mapInArrow(dealt, "block long, place binary, size binary, ids binary").repartition(shares, "block")
 
     def assemble(own: pa.Table, coded: pa.Table) -> pa.Table:
-        table, pairs = shared.value
-        parts: dict[str, bytes] = {}
-        for batch in coded.to_batches():
-            flat, ends = batch.column(2).flatten().to_numpy(), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy())))
-            parts.update(zip(batch.column(1).to_pylist(), (flat[x:y].tobytes() for x, y in zip(ends, ends[1:]))))
-        get = _Memory(table, parts, pairs).__getitem__
-        out = []
-        for batch in own.to_batches():
-            data, offsets = tx.text_buffers(batch.column(1))
-            for a, b in tx.slices(offsets):
-                bodies = [b"".join(map(get, _words(data[offsets[i] : offsets[i + 1]].tobytes().decode()))) for i in range(a, b)]
-                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in bodies]))).astype(np.int32)
-                out.append(pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(bodies), np.int32)))], ["doc_id", "ids"]))
+        known, pool = shared_ids.value
+        steps, n_ids, ids = ([_joined(np.frombuffer(x.as_buffer(), np.uint8)) for x in coded.column(k)] for k in (1, 2, 3))
+        place, n_ids, ids = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (map(np.cumsum, steps), n_ids, ids))
+        place, part_ids, out = place.astype(np.int64), np.concatenate((pool, ids)), []
+        for body in own.column(1):
+            n_parts, lengths, cuts, doc_ids, n_units, units = _opened(body, "n_parts", "lengths", "cuts", "doc_id", "n_units", "units")
+            n_parts, lengths, cuts, n_units, units = (_joined(x.to_numpy()) for x in (n_parts, lengths, cuts, n_units, units))
+            units, cuts = _numbers(units, len(known)), _numbers(cuts, len(known))
+            size = np.concatenate((known, np.full(len(lengths), -1)))
+            size[len(known) + place] = n_ids
+            if (size < 0).any():
+                raise RuntimeError("parts of a block have no ids; was it read in another order?")
+            start = np.concatenate((_ends(known)[:-1], np.zeros(len(lengths), np.int64)))
+            start[len(known) + place] = len(pool) + _ends(n_ids)[:-1]
+            # from parts to units, then to documents
+            of_part = size[cuts]
+            ids = np.concatenate((pool, part_ids[_ranges(start[cuts], of_part)]))
+            size = np.concatenate((known, np.diff(_ends(of_part)[_ends(n_parts)])))
+            start, first = _ends(size)[:-1], _ends(n_units)
+            for a, b in tx.slices(first * 4):
+                some = units[first[a] : first[b]]
+                own_size = size[some]
+                ends = _ends(own_size)[first[a : b + 1] - first[a]]
+                out.append(pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[_ranges(start[some], own_size)]))], ["doc_id", "ids"]))
+        _release()
         return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    return docs.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -65,6 +65,43 @@ def test_every_unit_goes_through_the_lattice(spark, monkeypatch):
     assert {x for t in texts for u in sc.units(t) for x in sc.cut(u, pairs)} <= seen | {x for u in seen for x in sc.cut(u, pairs)}
 
 
+def _shuffled(spark):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_not_shuffled(spark):
+    """The shuffles of an encoding take less than its input: frequent words, rare ones and words that occur once."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice(("the", "an", "re", "tion", "ou", "ver", "Sch", "ei")) for _ in range(rng.randrange(1, 6))) for _ in range(30_000)]
+    texts = [" ".join(words[min(int(rng.paretovariate(0.6)), len(words)) - 1] for _ in range(200)) for _ in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).cache()
+    docs.count()
+    before = _shuffled(spark)
+    assert sc.encode(docs).count() == len(texts)
+    assert _shuffled(spark) - before < 0.5 * sum(map(len, texts))
+
+
+def test_many_blocks_of_documents(spark, monkeypatch):
+    """Blocks of a few documents, some of them equal, and one of a document that is longer than a block."""
+    import sentencepiece
+
+    monkeypatch.setattr(sc, "BLOCK_BYTES", 60)
+    lib = sentencepiece.SentencePieceProcessor(model_file=sc.MODEL)
+    texts = [t or "" for t in TEXTS] + ["rarely zqzq unparted"] * 40
+    rows = [(7, t) for t in texts] + [(None, "rarely " * 3)] * 9
+    got = sc.decode(sc.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), table_units=3)).collect()
+    assert sorted((r.doc_id is None, r.ids, r.text) for r in got) == sorted((d is None, lib.encode(t), t) for d, t in rows)
+
+
+def test_parts_of_many_units(pieces):
+    words = ["", "①②", "▁Hello①", "zq" * 40, "a", "🙂ab🙃"]
+    parts, n = sc._Cutter(pieces.pairs)(words)
+    cut = [sc.cut(sc.MARK + w, pieces.pairs) for w in words]
+    assert [*parts] == sum(cut, []) and n.tolist() == [*map(len, cut)]
+
+
 def test_long_units_of_a_unigram_model(spark):
     table = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -5.0, "c": -2.0, "bc": -2.4, "aa": -1.9}
     p = sc.Pieces("unigram", ["<unk>", *table], [0.0, *table.values()])
