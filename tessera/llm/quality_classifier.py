@@ -32,6 +32,8 @@ from tessera.llm import _text as tx
 BITS = 18
 SAMPLE = 20_000
 COST, EPOCHS = 1.0, 12
+#: Feature numbers whose values the fit holds at once, beside the numbers of the whole sample.
+PART = 1 << 18
 THRESHOLD = 0.3
 
 _KIND = np.full(256, 2, np.uint8)  # punctuation
@@ -80,33 +82,42 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def _sums(numbers: np.ndarray, at: np.ndarray, values: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum of each document's values, from its numbers; about PART values at a time."""
+    out, total = np.zeros(len(at) - 1), 0.0
+    for a, b in tx.slices(at, PART):
+        sums = np.empty(at[b] - at[a] + 1)
+        sums[0], sums[1:] = total, values(numbers[at[a] : at[b]])  # one running sum: PART changes no bit of it
+        np.cumsum(sums, out=sums)
+        out[a:b], total = np.diff(sums[at[a : b + 1] - at[a]]), sums[-1]
+    return out
+
+
 def _unit(numbers: np.ndarray, at: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """Length of each document's scaled vector, at least a little above zero."""
-    squares = ratio[numbers].astype(np.float64)
-    squares *= squares
-    sums = np.zeros(len(numbers) + 1)
-    np.cumsum(squares, out=sums[1:])
-    return np.sqrt(np.maximum(sums[at[1:]] - sums[at[:-1]], 1e-12))
+    return np.sqrt(np.maximum(_sums(numbers, at, lambda own: np.square(ratio[own], dtype=np.float64)), 1e-12))
 
 
 def margins(numbers: np.ndarray, at: np.ndarray, ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(numbers) + 1)
-    np.cumsum((weight * ratio)[numbers], dtype=np.float64, out=sums[1:])
-    return (sums[at[1:]] - sums[at[:-1]]) / _unit(numbers, at, ratio)
+    product = weight * ratio
+    return _sums(numbers, at, lambda own: product[own]) / _unit(numbers, at, ratio)
 
 
-def coordinate_descent(numbers: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+def coordinate_descent(numbers: np.ndarray, at: np.ndarray, value: np.ndarray | Callable[[int], np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the linear model min 1/2 |w|^2 + sum cost_i max(0, 1 - y_i w.x_i), by its dual.
 
-    x_i has value[k] at numbers[k] for at[i] <= k < at[i + 1] and unit length.
+    x_i has value[k] at numbers[k] for at[i] <= k < at[i + 1] and unit length; or
+    value(i) gives its values, so that no more than one document's are held.
     """
     w, alpha = np.zeros(1 << BITS), np.zeros(len(y))
     rng = np.random.default_rng(3)
-    rows = [(numbers[a:b], value[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    ends = at.tolist()
     for _ in range(epochs):
         worst = 0.0
-        for i in rng.permutation(len(y)).tolist():
-            index, x = rows[i]
+        order = rng.permutation(len(y))
+        for i in order[cost[order] > 0].tolist():  # the others' alpha stays 0
+            a, b = ends[i], ends[i + 1]
+            index, x = numbers[a:b], value(i) if callable(value) else value[a:b]
             gradient = y[i] * (w[index] @ x) - 1.0
             new = min(max(alpha[i] - gradient, 0.0), cost[i])  # x_i . x_i = 1
             step = new - alpha[i]
@@ -126,19 +137,21 @@ def fit(numbers: np.ndarray, at: np.ndarray, label: np.ndarray, fold: np.ndarray
     flat = (none, none, 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))) if len(label) else 20.0)
     if len(np.unique(label)) < 2:
         return flat
-    owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(at))
-    good = (label == 1)[owner]
-    ones = 1.0 + np.bincount(numbers[good], minlength=1 << BITS)
-    zeros = 1.0 + np.bincount(numbers[~good], minlength=1 << BITS)
+    ones, zeros = np.ones(1 << BITS), np.ones(1 << BITS)
+    for i, j in tx.slices(at, PART):
+        own, good = numbers[at[i] : at[j]], np.repeat(label[i:j] == 1, np.diff(at[i : j + 1]))
+        ones += np.bincount(own[good], minlength=1 << BITS)
+        zeros += np.bincount(own[~good], minlength=1 << BITS)
     ratio = np.log((ones / ones.sum()) / (zeros / zeros.sum())).astype(np.float32)
-    value = ratio[numbers] / _unit(numbers, at, ratio)[owner]
+    unit = _unit(numbers, at, ratio)
+    ends = at.tolist()
     y = np.where(label == 1, 1.0, -1.0)
     train = fold != 0
     if len(np.unique(label[train])) < 2 or len(np.unique(label[~train])) < 2:
         train = np.ones(len(label), bool)
     cost = np.where(label == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) * COST  # both classes weigh alike
     cost[~train] = 0.0
-    w = coordinate_descent(numbers, at, value, y, cost)
+    w = coordinate_descent(numbers, at, lambda i: ratio[numbers[ends[i] : ends[i + 1]]] / unit[i], y, cost)
     calibrate = ~train if (~train).any() else train
     z = margins(numbers, at, ratio, w)[calibrate]
     target = label[calibrate].astype(float)
@@ -178,10 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
             ids += batch.column(0).to_pylist()
             label_ += batch.column(1).to_pylist()
             bodies += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(2)]
+            del batch
         order = sorted(range(len(ids)), key=lambda i: (ids[i], len(bodies[i])))  # the same fit whatever the partitions
         bodies = [bodies[i] for i in order]
         at = np.concatenate(([0], np.cumsum([len(x) for x in bodies]))).astype(np.int64)
         numbers = np.concatenate([*bodies, np.zeros(0, np.int32)])
+        del bodies  # and the batches whose memory they show
         fold = np.array([ids[i] * 2654435761 % 2**32 >> 16 for i in order], np.int64) % 5
         ratio, w, a, b = fit(numbers, at, np.array([label_[i] for i in order], np.int64), fold)
         yield pa.RecordBatch.from_arrays([pa.array([ratio.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([a]), pa.array([b])], ["ratio", "weight", "slope", "intercept"])

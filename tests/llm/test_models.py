@@ -1,6 +1,7 @@
 """Decontamination and the quality classifier on small corpora with known answers."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -113,3 +114,27 @@ def test_dual_coordinate_descent_reaches_the_optimum():
         v = v - (v - (cost * y * (y * (dense @ v) < 1)) @ dense) / step
         least = min(least, goal(v))
     assert goal(w) <= least * 1.0001 and goal(w) >= least * 0.99
+
+
+def test_fit_holds_little_beside_the_features(monkeypatch):
+    """Less than the features' own memory once more, and the same model however they are cut."""
+    rng = np.random.default_rng(6)
+    n, width = 2000, 4000
+    numbers = np.concatenate([np.unique(rng.integers(0, 1 << qc.BITS, width)) for _ in range(n)]).astype(np.int32)
+    at = np.append(0, np.flatnonzero(np.diff(numbers) < 0) + 1)
+    at = np.append(at, len(numbers))
+    assert len(at) == n + 1
+    label, fold = rng.integers(0, 2, n), rng.integers(0, 5, n)
+    tracemalloc.start()
+    try:
+        model = qc.fit(numbers, at, label, fold)
+        assert tracemalloc.get_traced_memory()[1] < numbers.nbytes
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(qc, "PART", 1000)  # less than a document
+    few = at[:201]
+    small = qc.fit(numbers[: few[-1]], few, label[:200], fold[:200])
+    monkeypatch.setattr(qc, "PART", 1 << 40)
+    whole = qc.fit(numbers[: few[-1]], few, label[:200], fold[:200])
+    assert all(np.array_equal(x, y) for x, y in zip(small, whole, strict=True))
+    assert np.isfinite(model[0]).all() and model[1].any()
