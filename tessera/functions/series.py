@@ -32,7 +32,9 @@ class Series:
 
     @property
     def after(self) -> WindowSpec:
-        return self.w.rowsBetween(1, Window.unboundedFollowing)
+        """The rows after this one, in reverse: the nearest is the last.  Spark folds a frame that grows; one that shrinks it would read anew for each row."""
+        by = [F.col(t) for t in self.tags] or [F.lit(0)]
+        return Window.partitionBy(*by).orderBy(F.col(self.time).desc()).rowsBetween(Window.unboundedPreceding, -1)
 
     @property
     def whole(self) -> WindowSpec:
