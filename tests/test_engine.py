@@ -326,7 +326,7 @@ def _tied(spark):
     return s
 
 
-@pytest.mark.parametrize("name", ["non_negative_derivative", "rate", "derivative"])
+@pytest.mark.parametrize("name", ["non_negative_derivative", "rate", "derivative", "irate"])
 def test_slopes_between_rows_of_one_time(spark, name):
     """As SQL divides doubles: infinite, and NaN for no change; NaN counts as the largest."""
     got = values(_tied(spark).sql(f"SELECT {name}(v, 1s) AS r, k FROM m ORDER BY k"))
