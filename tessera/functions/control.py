@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,21 +15,22 @@ from pyspark.sql import functions as F
 BEFORE_35, BEFORE_85, LEAST_SAMPLES = 0.4308, 1.8971, 10
 
 
-def pid(df: DataFrame, keys: list[str], time: str, f: Column, setpoint: float, kp: float, ki: float, kd: float, out: str) -> DataFrame:
+def pid(df: DataFrame, keys: list[str], time: str, f: Column, setpoint: float, kp: float, ki: float, kd: float, out: str, ties: Sequence[str] = ()) -> DataFrame:
     """One row for each key: the last output of a controller that starts fresh in it.
 
     Closed form: the error integral is a sum over rows, so no state crosses rows.
+    ``ties`` order rows of one time, of which the first gives the output.
     """
     from pyspark.sql import Window
 
     by = [F.col(k) for k in keys] or [F.lit(0)]
     points = df.withColumn("__e", float(setpoint) - f.cast("double")).where(F.col("__e").isNotNull())
-    order = Window.partitionBy(*by).orderBy(time)
+    order = Window.partitionBy(*by).orderBy(time, *ties)
     past = F.lag(F.struct(F.col("__e").alias("e"), F.col(time).alias("t"))).over(order)
     dt = (F.col(time) - F.col("__p.t")) / 1000.0
     moved = points.withColumn("__p", past)
     moved = moved.withColumn("__area", F.when(dt > 0, F.col("__e") * dt)).withColumn("__slope", F.when(dt > 0, (F.col("__e") - F.col("__p.e")) / dt))
-    last = F.max_by(F.struct(F.col("__e").alias("e"), F.col("__slope").alias("d")), F.col(time))
+    last = F.max_by(F.struct(F.col("__e").alias("e"), F.col("__slope").alias("d")), F.when(F.coalesce(dt > 0, F.lit(True)), F.col(time)))
     grouped = moved.groupBy(*keys).agg(last.alias("__last"), F.coalesce(F.sum("__area"), F.lit(0.0)).alias("__sum"))
     output = kp * F.col("__last.e") + ki * F.col("__sum") + kd * F.coalesce(F.col("__last.d"), F.lit(0.0))
     return grouped.select(*keys, output.alias(out))

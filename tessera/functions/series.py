@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Series:
-    """The tags that tell series apart and the time column (milliseconds)."""
+    """The tags that tell series apart, the time column (milliseconds), and columns that order rows of one series and time."""
 
     tags: tuple[str, ...] = ()
     time: str = "time"
+    order: tuple[str, ...] = ()
 
     @property
     def w(self) -> WindowSpec:
         by = [F.col(t) for t in self.tags] or [F.lit(0)]
-        return Window.partitionBy(*by).orderBy(self.time)
+        return Window.partitionBy(*by).orderBy(self.time, *self.order)
 
     @property
     def cumulative(self) -> WindowSpec:
@@ -34,7 +35,7 @@ class Series:
     def after(self) -> WindowSpec:
         """The rows after this one, in reverse: the nearest is the last.  Spark folds a frame that grows; one that shrinks it would read anew for each row."""
         by = [F.col(t) for t in self.tags] or [F.lit(0)]
-        return Window.partitionBy(*by).orderBy(F.col(self.time).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in (self.time, *self.order))).rowsBetween(Window.unboundedPreceding, -1)
 
     @property
     def whole(self) -> WindowSpec:
@@ -57,7 +58,7 @@ def scan(df: DataFrame, series: Series, inputs: list[Column], out: str, start: C
     prepared = df.withColumns(dict(zip(names, inputs, strict=True)))
     by = list(series.tags)
     dealt = prepared.repartition(*by) if by else prepared.repartition(1)
-    ordered = dealt.sortWithinPartitions(*by, series.time)
+    ordered = dealt.sortWithinPartitions(*by, series.time, *series.order)
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` {kind}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

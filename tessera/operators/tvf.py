@@ -28,13 +28,13 @@ def forecast(df: DataFrame, s: Series, field: str, horizon: int, method: str = "
     schema = "time long, value double, lower double, upper double" + "".join(f", `{t}` {kinds[t]}" for t in s.tags)
 
     def each(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(s.time, kind="stable")
+        part = part.sort_values([s.time, *s.order], kind="stable")
         if len(part) < 2:
             return pd.DataFrame(columns=["time", "value", "lower", "upper", *s.tags])
         at, value, width = fc.forecast(part[s.time].to_numpy(), part[field].to_numpy(dtype=float), horizon, method, season)
         return pd.DataFrame({"time": at, "value": value, "lower": value - width, "upper": value + width} | {t: [k] * horizon for t, k in zip(s.tags, key)})
 
-    points = df.where(F.col(field).isNotNull()).select(s.time, F.col(field).cast("double").alias(field), *s.tags)
+    points = df.where(F.col(field).isNotNull()).select(s.time, F.col(field).cast("double").alias(field), *s.tags, *(c for c in s.order if c != field))
     return points.groupBy(*s.tags).applyInPandas(each, schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -46,9 +46,9 @@ def _histogram(points: DataFrame, item: Item) -> DataFrame:
     return bins.groupBy(BUCKET).agg(F.concat(F.lit("{"), F.array_join(rows, ","), F.lit("}")).alias(item.out))
 
 
-def _trajectory(points: DataFrame, item: Item, time: str) -> DataFrame:
+def _trajectory(points: DataFrame, item: Item, time: str, ties: Sequence[str]) -> DataFrame:
     g = points.withColumn("__g", item.field).where(F.col("__g").isNotNull())
-    order = Window.partitionBy(BUCKET).orderBy(time)
+    order = Window.partitionBy(BUCKET).orderBy(time, *ties)
     step = g.withColumn("__d", geo_distance(F.lag("__g").over(order), F.col("__g"))).withColumn("__t", F.col(time) - F.lag(time).over(order))
     speed = F.when(F.col("__t") > 0, F.col("__d") * 1000.0 / F.col("__t"))
     made = {"trajectory_length": F.coalesce(F.sum("__d"), F.lit(0.0)), "trajectory_speed_max": F.max(speed), "trajectory_speed_avg": F.avg(speed), "trajectory_speed_p95": F.percentile(speed, F.lit(0.95))}[item.name]
@@ -96,11 +96,11 @@ def simple(item: Item, time: str) -> Column:
     raise ValueError(f"unknown aggregate {item.name!r}")
 
 
-def aggregate(points: DataFrame, items: list[Item], needed: list[Column], time: str = "time", width: int | None = None) -> DataFrame:
+def aggregate(points: DataFrame, items: list[Item], needed: list[Column], time: str = "time", width: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Aggregates of points, globally or by bucket, ascending; only buckets that hold a needed point.
 
     The output has BUCKET (0 without buckets) and one column for each item.  A
-    query without matching points has no rows.
+    query without matching points has no rows.  ``ties`` order points of one time.
     """
     keyed = points.withColumn(BUCKET, bucket(time, width) if width else F.lit(0).cast("long"))
     live = reduce(lambda a, b: a | b, [c.isNotNull() for c in needed])
@@ -113,11 +113,11 @@ def aggregate(points: DataFrame, items: list[Item], needed: list[Column], time:
         if item.name == "histogram":
             extra = _histogram(keyed, item)
         elif item.name.startswith("trajectory_"):
-            extra = _trajectory(keyed, item, time)
+            extra = _trajectory(keyed, item, time, ties)
         elif item.name == "tdigest_agg":
             extra = _digest(keyed, item)
         elif item.name == "pid":
-            extra = control.pid(keyed, [BUCKET], time, item.field, *item.args, out=item.out)
+            extra = control.pid(keyed, [BUCKET], time, item.field, *item.args, out=item.out, ties=ties)
         else:
             extra = _estimate(keyed, item, time)
         out = out.join(extra, BUCKET, "left")

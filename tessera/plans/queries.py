@@ -32,7 +32,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session(spark: SparkSession, sf_dir: str) -> TimeSeriesSession:
     s = TimeSeriesSession(spark)
-    s.register("events", events(spark, sf_dir), ["event_type"])
+    s.register("events", events(spark, sf_dir), ["event_type"], order=["event_id"])
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     s.register("embeddings", emb.select(F.col("vec_id").alias("time"), F.col("label").cast("string").alias("label"), "embedding"), ["label"])
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

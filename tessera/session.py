@@ -43,10 +43,11 @@ class Source:
     schema: MeasurementSchema
     points: DataFrame
     rows: DataFrame
+    order: tuple[str, ...] = ()
 
     @property
     def series(self) -> Series:
-        return Series(tuple(self.schema.tags))
+        return Series(tuple(self.schema.tags), order=self.order)
 
 
 @dataclass
@@ -65,10 +66,11 @@ class TimeSeriesSession:
         self._registered: dict[str, Source] = {}
 
     # measurements
-    def register(self, name: str, df: DataFrame, tags: Sequence[str] = (), unique: bool = True) -> None:
+    def register(self, name: str, df: DataFrame, tags: Sequence[str] = (), unique: bool = True, order: Sequence[str] = ()) -> None:
         """Make a DataFrame with a ``time`` column (ms) a measurement; tags are strings, other columns fields.
 
-        unique: no (series, time) occurs twice, so raw queries need no shuffle.
+        unique: no (series, time) occurs twice, or all such rows count, so raw queries need no shuffle.
+        order: columns that order rows of one series and time, for whatever depends on order.
         """
         kinds = {"double": "float64", "float": "float64", "bigint": "int64", "int": "int64", "smallint": "int64", "boolean": "boolean", "string": "string"}
         columns = []
@@ -79,9 +81,9 @@ class TimeSeriesSession:
             columns.append(Column(n, "tag" if n in tags else "field", kind, 0))
         schema = MeasurementSchema(name, tuple(columns))
         df = df.select("time", *[c.name for c in columns])
-        last = [F.last(c.name, ignorenulls=True).alias(c.name) for c in schema.fields]
+        last = [(F.max_by(c.name, F.when(F.col(c.name).isNotNull(), F.struct(*order))) if order else F.last(c.name, ignorenulls=True)).alias(c.name) for c in schema.fields]
         rows = df if unique else df.groupBy(*schema.tags, "time").agg(*last).select(df.columns)
-        self._registered[name] = Source(schema, df, rows)
+        self._registered[name] = Source(schema, df, rows, tuple(order))
 
     def measurement(self, name: str, where: Any = None) -> Source:
         """A measurement; of a stored one, days outside the time range of ``where`` aren't read."""
@@ -553,7 +555,7 @@ class TimeSeriesSession:
         own = [i for i in items if i.name.startswith("user:")]
         if keys or own:
             return self._grouped(points, plain, own, needed, keys, width, titles)
-        out = aggregate(points, plain, needed, "time", width)
+        out = aggregate(points, plain, needed, "time", width, source.order)
         return out.orderBy(BUCKET).select(*[c.alias(t) for c, t in titles])
 
     def _grouped(self, points: DataFrame, plain: list[Item], own: list[Item], needed: list, keys: list[str], width: int | None, titles: list) -> DataFrame:

@@ -322,7 +322,7 @@ def test_interpolation_in_linear_time(spark):
 def _tied(spark):
     """A series with two rows at 2000 ms and two equal ones at 3000 ms."""
     s = TimeSeriesSession(spark)
-    s.register("m", spark.createDataFrame([(1000, "a", 1.0, 1), (2000, "a", 3.0, 2), (2000, "a", 5.0, 3), (3000, "a", 4.0, 4), (3000, "a", 4.0, 5)], "time long, tag string, v double, k long"), ["tag"])
+    s.register("m", spark.createDataFrame([(1000, "a", 1.0, 1), (2000, "a", 3.0, 2), (2000, "a", 5.0, 3), (3000, "a", 4.0, 4), (3000, "a", 4.0, 5)], "time long, tag string, v double, k long").orderBy(F.desc("k")), ["tag"], order=["k"])
     return s
 
 
@@ -337,3 +337,16 @@ def test_slopes_between_rows_of_one_time(spark, name):
 def test_controller_between_rows_of_one_time(spark):
     got = values(_tied(spark).sql("SELECT pid_series(v, 0, 0, 1, 1) AS r, k FROM m ORDER BY k"))
     assert [str(r) for r, _ in got] == [str(x) for x in (0.0, -3.0 - 2.0, -math.inf, -3.0 - 4.0 + 1.0, math.nan)]
+
+
+@pytest.mark.parametrize("call,expected", [("increase(v)", [None, 2.0, 2.0, None, 0.0])])
+def test_order_of_rows_of_one_time(spark, call, expected):
+    """The rows come in reverse; the column of order decides."""
+    assert [r for r, _ in values(_tied(spark).sql(f"SELECT {call} AS r, k FROM m ORDER BY k"))] == expected
+
+
+def test_recursions_and_aggregates_take_the_order_of_rows_of_one_time(spark):
+    s = _tied(spark)
+    assert [r for r, _ in values(s.sql("SELECT ewma(v, 0.5) AS r, k FROM m ORDER BY k"))] == [1.0, 2.0, 3.5, 3.75, 3.875]
+    assert [r for r, _ in values(s.sql("SELECT interpolate(v) AS r, k FROM m ORDER BY k"))] == [1.0, 3.0, 5.0, 4.0, 4.0]
+    assert values(s.sql("SELECT pid(v, 0, 1, 0, 1) AS u FROM m WHERE tag = 'a'")) == [(-4.0 + 1.0,)]
