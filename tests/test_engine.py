@@ -339,7 +339,7 @@ def test_controller_between_rows_of_one_time(spark):
     assert [str(r) for r, _ in got] == [str(x) for x in (0.0, -3.0 - 2.0, -math.inf, -3.0 - 4.0 + 1.0, math.nan)]
 
 
-@pytest.mark.parametrize("call,expected", [("increase(v)", [None, 2.0, 2.0, None, 0.0])])
+@pytest.mark.parametrize("call,expected", [("increase(v)", [None, 2.0, 2.0, None, 0.0]), ("state_changes(v)", [0, 1, 2, 3, 3])])
 def test_order_of_rows_of_one_time(spark, call, expected):
     """The rows come in reverse; the column of order decides."""
     assert [r for r, _ in values(_tied(spark).sql(f"SELECT {call} AS r, k FROM m ORDER BY k"))] == expected
