@@ -350,3 +350,9 @@ def test_recursions_and_aggregates_take_the_order_of_rows_of_one_time(spark):
     assert [r for r, _ in values(s.sql("SELECT ewma(v, 0.5) AS r, k FROM m ORDER BY k"))] == [1.0, 2.0, 3.5, 3.75, 3.875]
     assert [r for r, _ in values(s.sql("SELECT interpolate(v) AS r, k FROM m ORDER BY k"))] == [1.0, 3.0, 5.0, 4.0, 4.0]
     assert values(s.sql("SELECT pid(v, 0, 1, 0, 1) AS u FROM m WHERE tag = 'a'")) == [(-4.0 + 1.0,)]
+
+
+def test_duration_of_a_state_takes_the_order_of_rows_of_one_time(spark):
+    s = TimeSeriesSession(spark)
+    s.register("m", spark.createDataFrame([(3000, True, 4), (2000, True, 3), (2000, False, 2), (1000, True, 1)], "time long, b boolean, k long"), order=["k"])
+    assert [r for r, _ in values(s.sql("SELECT state_duration(b) AS r, k FROM m ORDER BY k"))] == [0, 0, 0, 1000]
