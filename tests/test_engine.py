@@ -3,6 +3,7 @@
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,3 +357,19 @@ def test_duration_of_a_state_takes_the_order_of_rows_of_one_time(spark):
     s = TimeSeriesSession(spark)
     s.register("m", spark.createDataFrame([(3000, True, 4), (2000, True, 3), (2000, False, 2), (1000, True, 1)], "time long, b boolean, k long"), order=["k"])
     assert [r for r, _ in values(s.sql("SELECT state_duration(b) AS r, k FROM m ORDER BY k"))] == [0, 0, 0, 1000]
+
+
+@pytest.mark.parametrize("kind", ["values"])
+def test_parsed_points_are_handed_on_in_parts(kind):
+    """Texts of 300 points in one batch of 60: the first part is there before the 20th text is read."""
+    made = {
+        "values": (lambda i: "INSERT INTO m (time, v) VALUES " + ",".join(f"({i * 300 + j}, 1.5)" for j in range(300)), lambda text: ingest.rows_of_insert(Parser(text).single(), None)),
+        "json": (lambda i: json.dumps({"m": "m", "points": [{"t": i * 300 + j, "fields": {"v": 1.5}} for j in range(300)]}), ingest.parse_json_points),
+    }
+    text, parse = made[kind]
+    seen = []
+    out = ingest.parsed_batches(iter([pa.RecordBatch.from_pydict({"value": [*map(text, range(60)), "{"]})]), lambda x: seen.append(x) or parse(x))
+    first = next(out)
+    assert first.num_rows <= 4096 and len(seen) < 20
+    rows = [r for b in (first, *out) for r in b.to_pylist()]
+    assert [r["time"] for r in rows if r["error"] is None] == list(range(18_000)) and sum(r["error"] is not None for r in rows) == 1
