@@ -359,7 +359,7 @@ def test_duration_of_a_state_takes_the_order_of_rows_of_one_time(spark):
     assert [r for r, _ in values(s.sql("SELECT state_duration(b) AS r, k FROM m ORDER BY k"))] == [0, 0, 0, 1000]
 
 
-@pytest.mark.parametrize("kind", ["values"])
+@pytest.mark.parametrize("kind", ["values", "json"])
 def test_parsed_points_are_handed_on_in_parts(kind):
     """Texts of 300 points in one batch of 60: the first part is there before the 20th text is read."""
     made = {
