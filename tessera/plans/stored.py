@@ -211,7 +211,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     value = F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value")
-    return raw.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), "event_type", value)
+    return raw.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), "event_type", value, "event_id")
 
 
 def _drained(spark: SparkSession, out: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_window(name: str, oracle: str, *args: float) -> None:
     text = f"SELECT time, event_type, round(value, 4) AS value, round({oracle}, 4) AS out FROM {{E}} WINDOW w AS (PARTITION BY event_type ORDER BY time ROWS UNBOUNDED PRECEDING), m AS (PARTITION BY event_type ORDER BY time ROWS 3 PRECEDING)"
-    add(f"stream_{name}", text)(lambda spark, sf_dir: _drained(spark, stream.stateful_window(_streamed(spark, sf_dir), Series(("event_type",)), "value", name, *args)))
+    add(f"stream_{name}", text)(lambda spark, sf_dir: _drained(spark, stream.stateful_window(_streamed(spark, sf_dir), Series(("event_type",), order=("event_id",)), "value", name, *args)))
 
 
 _stream_window("cumulative_sum", "sum(value) OVER w")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
+from typing import IO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -96,6 +101,46 @@ def machine(name: str, *args: float):
     return makers[name]()
 
 
+#: Rows of a series and micro-batch that a task sorts in memory, and that it reads of a run at once.  More rows are sorted in runs on its disk.
+_RUN, _READ = 1 << 18, 8192
+
+
+def _spilled(rows: pd.DataFrame) -> IO[bytes]:
+    run = tempfile.TemporaryFile()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(run, table.schema) as out:
+        out.write_table(table, max_chunksize=_READ)
+    run.seek(0)
+    return run
+
+
+def _rows(run: IO[bytes]) -> Iterator[tuple]:
+    with run:
+        for batch in pa.ipc.open_stream(run):
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def in_order(frames: Iterator[pd.DataFrame], by: list[str], *others: str) -> Iterator[pd.DataFrame]:
+    """The rows sorted by some columns, rows alike in them as they come, in parts; in bounded memory."""
+    runs, held, n = [], [], 0
+    for frame in frames:
+        held.append(frame[[*by, *others]])
+        n += len(frame)
+        if n >= _RUN:
+            runs.append(_spilled(pd.concat(held).sort_values(by, kind="stable")))
+            held, n = [], 0
+    if held:
+        rest = pd.concat(held).sort_values(by, kind="stable")
+        if not runs:
+            yield rest
+            return
+        runs.append(_spilled(rest))
+    key = lambda row: [(x is None or x != x, x) for x in row[: len(by)]]
+    rows = heapq.merge(*map(_rows, runs), key=key)
+    while part := list(islice(rows, _READ)):
+        yield pd.DataFrame(part, columns=[*by, *others])
+
+
 def stateful_window(points: DataFrame, s: Series, field: str, name: str, *args: float) -> DataFrame:
     """(tags, time, value, out) of a window function whose state lives on over micro-batches, by series."""
     start, update = machine(name, *args)
@@ -104,13 +149,13 @@ def stateful_window(points: DataFrame, s: Series, field: str, name: str, *args:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [None if v != v else v for v in state.get[0]] if state.exists else list(start)
-        rows = pd.concat(frames).sort_values(s.time, kind="stable")
-        out = []
-        for x in rows["value"].tolist():
-            held, y = update(held, None if x != x or x is None else x)
-            out.append(y)
+        for rows in in_order(frames, [s.time, *s.order], "value"):
+            out = []
+            for x in rows["value"].tolist():
+                held, y = update(held, None if x != x or x is None else x)
+                out.append(y)
+            yield pd.DataFrame({t: [k] * len(out) for t, k in zip(s.tags, key)} | {s.time: rows[s.time].to_numpy(), "value": rows["value"].to_numpy(dtype=float), "out": pd.array(out, dtype="Float64").to_numpy(dtype=float, na_value=float("nan"))})
         state.update((held,))
-        yield pd.DataFrame({t: [k] * len(out) for t, k in zip(s.tags, key)} | {s.time: rows[s.time].to_numpy(), "value": rows["value"].to_numpy(), "out": pd.array(out, dtype="Float64").to_numpy(dtype=float, na_value=float("nan"))})
 
-    shaped = points.select(*s.tags, s.time, F.col(field).cast("double").alias("value"))
+    shaped = points.select(*s.tags, s.time, F.col(field).cast("double").alias("value"), *s.order)
     return shaped.groupBy(*s.tags).applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -373,3 +373,33 @@ def test_parsed_points_are_handed_on_in_parts(kind):
     assert first.num_rows <= 4096 and len(seen) < 20
     rows = [r for b in (first, *out) for r in b.to_pylist()]
     assert [r["time"] for r in rows if r["error"] is None] == list(range(18_000)) and sum(r["error"] is not None for r in rows) == 1
+
+
+def test_streamed_rows_are_sorted_in_runs(monkeypatch):
+    """Four runs of 1000 rows; of the frames, one run is held at most."""
+    import weakref
+
+    import numpy as np
+    import pandas as pd
+
+    from tessera.streaming import stream
+
+    monkeypatch.setattr(stream, "_RUN", 1000)
+    rng, alive, most = np.random.default_rng(3), [], 0
+
+    def frames():
+        nonlocal most
+        for i in range(40):
+            frame = pd.DataFrame({"time": rng.integers(0, 500, 100), "k": np.arange(100 * i, 100 * i + 100)[::-1], "value": [None if j % 9 == 0 else float(j) for j in range(100)]})
+            given.append(frame.copy())
+            alive.append(weakref.ref(frame))
+            most = max(most, sum(r() is not None for r in alive))
+            yield frame
+
+    given: list = []
+    got = pd.concat(stream.in_order(frames(), ["time", "k"], "value")).reset_index(drop=True)
+    expected = pd.concat(given).sort_values(["time", "k"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, expected)
+    given_time = pd.concat(stream.in_order(iter(given), ["time"], "k")).reset_index(drop=True)
+    pd.testing.assert_frame_equal(given_time, pd.concat(given).sort_values("time", kind="stable")[["time", "k"]].reset_index(drop=True))
+    assert most <= 12
