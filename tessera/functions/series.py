@@ -27,6 +27,12 @@ class Series:
     def cumulative(self) -> WindowSpec:
         return self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    @property
+    def same_time(self) -> WindowSpec:
+        """The rows of this time up to this one."""
+        by = [F.col(c) for c in (*self.tags, self.time)]
+        return Window.partitionBy(*by).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
     @property
     def before(self) -> WindowSpec:
         return self.w.rowsBetween(Window.unboundedPreceding, -1)

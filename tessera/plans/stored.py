@@ -116,16 +116,20 @@ def _time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("store_schema_change", "SELECT event_type, time, arg_max(CASE WHEN event_id % 2 = 0 THEN k ELSE CAST(k + 0.5 AS DOUBLE) END, event_id) AS k, arg_max(event_id % 9, event_id) FILTER (WHERE event_id % 2 = 1) AS fresh FROM {E} GROUP BY event_type, time")
 def _schema_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An integer field becomes FLOAT and a field comes up: a new generation beside the old one, in odd rows written later."""
+    """An integer field becomes FLOAT and a field comes up: a new generation beside the old one, in odd rows written later.
+
+    Even rows that come after an odd one of their series and time are written later too: event_id is the order of writes.
+    """
     from tessera.schema import Column
 
     s, schema = _empty(spark)
-    rows = _rows(spark, sf_dir)
-    s.storage.append("default", schema, rows.where("event_id % 2 = 0"))
+    odd = F.col("event_id") % 2 == 1
+    rows = _rows(spark, sf_dir).withColumn("late", F.max(odd).over(Series(("event_type",), order=("event_id",)).same_time))
+    s.storage.append("default", schema, rows.where("NOT late"))
     schema = schema.promoted("k").with_columns(Column("fresh", "field", "int64"))
     s.storage.save_schema("default", schema)
-    odd = rows.where("event_id % 2 = 1").withColumn("k", F.col("k") + 0.5).withColumn("fresh", F.col("event_id") % 9)
-    s.storage.append("default", schema, odd)
+    late = rows.where("late").withColumn("k", F.when(odd, F.col("k") + 0.5).otherwise(F.col("k"))).withColumn("fresh", F.when(odd, F.col("event_id") % 9))
+    s.storage.append("default", schema, late)
     return s.sql("SELECT time, event_type, k, fresh FROM ev")
 
 

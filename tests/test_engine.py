@@ -403,3 +403,14 @@ def test_streamed_rows_are_sorted_in_runs(monkeypatch):
     given_time = pd.concat(stream.in_order(iter(given), ["time"], "k")).reset_index(drop=True)
     pd.testing.assert_frame_equal(given_time, pd.concat(given).sort_values("time", kind="stable")[["time", "k"]].reset_index(drop=True))
     assert most <= 12
+
+
+def test_stored_schema_change_takes_the_order_of_events(spark, tmp_path):
+    """An even event after an odd one of its series and millisecond is the last."""
+    import tessera.plans.stored  # noqa: F401  registers its queries
+    from tessera.plans.queries import QUERIES
+
+    rows = [(1, 5), (2, 5), (4, 6), (5, 6), (8, 7), (11, 8)]  # event_id, time
+    spark.createDataFrame(rows, "event_id long, at long").selectExpr("event_id", "timestamp_millis(at) AS ts", "'click' AS event_type", "1.0D AS value", "1L AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.time, r.k, r.fresh) for r in QUERIES["store_schema_change"](spark, str(tmp_path)).collect())
+    assert got == [(5, 2.0, 1), (6, 5.5, 5), (7, 8.0, None), (8, 0.5, 2)]
