@@ -559,13 +559,22 @@ class TimeSeriesSession:
         return out.orderBy(BUCKET).select(*[c.alias(t) for c, t in titles])
 
     def _grouped(self, points: DataFrame, plain: list[Item], own: list[Item], needed: list, keys: list[str], width: int | None, titles: list) -> DataFrame:
-        """Grouping by tags, and user aggregates: functions that a single groupBy can hold."""
+        """Grouping by tags, and user aggregates: functions that a single groupBy can hold.
+
+        User aggregates have a groupBy of their own: one of distinct values would make the buffers of the others
+        (32,768 registers of distinct_count) once for each value.
+        """
         from tessera.plans.aggregate import bucket, simple
 
         live = points.where(reduce(lambda a, b: a | b, [c.isNotNull() for c in needed]))
         live = live.withColumn(BUCKET, bucket("time", width) if width else F.lit(0).cast("long"))
-        made = [simple(i, "time").alias(i.out) for i in plain] + [self.functions.aggregate[i.name[5:]](i.field, *i.args).alias(i.out) for i in own]
-        return live.groupBy(*keys, BUCKET).agg(*made).orderBy(*keys, BUCKET).select(*[c.alias(t) for c, t in titles])
+        groups = [*keys, BUCKET]
+        made = [[simple(i, "time").alias(i.out) for i in plain], [self.functions.aggregate[i.name[5:]](i.field, *i.args).alias(i.out) for i in own]]
+        out, *more = (live.groupBy(*groups).agg(*m) for m in made if m)
+        for other in more:
+            other = other.withColumnsRenamed({k: f"__{i}" for i, k in enumerate(groups)})
+            out = out.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(groups)]))
+        return out.orderBy(*keys, BUCKET).select(*[c.alias(t) for c, t in titles])
 
     @staticmethod
     def _dimension(source: Source, name: str) -> int:

@@ -414,3 +414,16 @@ def test_stored_schema_change_takes_the_order_of_events(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, at long").selectExpr("event_id", "timestamp_millis(at) AS ts", "'click' AS event_type", "1.0D AS value", "1L AS user_id").write.parquet(f"{tmp_path}/events.parquet")
     got = sorted((r.time, r.k, r.fresh) for r in QUERIES["store_schema_change"](spark, str(tmp_path)).collect())
     assert got == [(5, 2.0, 1), (6, 5.5, 5), (7, 8.0, None), (8, 0.5, 2)]
+
+
+def test_distinct_user_aggregates_have_a_grouping_of_their_own(spark):
+    """distinct_count's registers are made once a group, not once for each distinct value."""
+    s = TimeSeriesSession(spark)
+    s.functions.register_aggregate("exact_distinct", F.count_distinct)
+    s.register("m", spark.range(3000).selectExpr("id AS time", "CASE WHEN id % 3 > 0 THEN CAST(id % 3 AS STRING) END AS tag", "CAST(id % 500 AS DOUBLE) AS v"), ["tag"])
+    out = s.sql("SELECT tag, distinct_count(v) AS r, exact_distinct(v) AS n FROM m GROUP BY tag, time(1s)")
+    sketches = [line.split("keys=[")[1].split("]")[0] for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "approx_count_distinct" in line]
+    assert sketches and all(len(keys.split(",")) == 2 for keys in sketches)
+    got = values(out)
+    assert sorted(n for _, _, n in got) == [333] * 6 + [334] * 3 and {t for t, _, _ in got} == {None, "1", "2"}
+    assert all(abs(r - n) <= 0.05 * n for _, r, n in got)
