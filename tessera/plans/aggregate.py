@@ -76,14 +76,10 @@ def _digest(points: DataFrame, item: Item) -> DataFrame:
     return parts.groupBy(BUCKET).applyInPandas(merge, f"{BUCKET} long, `{out}` string")
 
 
-def _estimate(points: DataFrame, item: Item, time: str) -> DataFrame:
-    run, out = control.pid_estimate_udaf(*item.args), item.out
-
-    def each(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({BUCKET: [key[0]], out: [run(part["t"].to_numpy(), part["v"].to_numpy())]})
-
-    v = points.select(BUCKET, F.col(time).alias("t"), item.field.cast("double").alias("v")).where("v is not null")
-    return v.groupBy(BUCKET).applyInPandas(each, f"{BUCKET} long, `{out}` string")
+def _estimate(points: DataFrame, item: Item, time: str, ties: Sequence[str]) -> DataFrame:
+    order = {c: f"__o{i}" for i, c in enumerate(ties)}
+    v = points.select(BUCKET, F.col(time).alias("t"), item.field.cast("double").alias("v"), *(F.col(c).alias(o) for c, o in order.items())).where("v is not null and not isnan(v)")
+    return control.pid_estimate(v, [BUCKET], "t", item.out, *item.args, ties=tuple(order.values()))
 
 
 def simple(item: Item, time: str) -> Column:
@@ -119,7 +115,7 @@ def aggregate(points: DataFrame, items: list[Item], needed: list[Column], time:
         elif item.name == "pid":
             extra = control.pid(keyed, [BUCKET], time, item.field, *item.args, out=item.out, ties=ties)
         else:
-            extra = _estimate(keyed, item, time)
+            extra = _estimate(keyed, item, time, ties)
         out = out.join(extra, BUCKET, "left")
     return out.select(BUCKET, *(i.out for i in items))
 

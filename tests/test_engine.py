@@ -427,3 +427,33 @@ def test_distinct_user_aggregates_have_a_grouping_of_their_own(spark):
     got = values(out)
     assert sorted(n for _, _, n in got) == [333] * 6 + [334] * 3 and {t for t, _, _ in got} == {None, "1", "2"}
     assert all(abs(r - n) <= 0.05 * n for _, r, n in got)
+
+
+def test_step_response_of_rows_in_slabs(spark, monkeypatch):
+    """Irregular times with gaps, in two buckets, cut into slabs of about 50 rows, against one pass over the sorted rows."""
+    import random
+
+    from tessera.functions import control
+
+    monkeypatch.setattr(control, "ROWS", 50)
+    rng, rows = random.Random(5), []
+    for b in range(2):
+        t = b * 10_000_000
+        for i in range(700):
+            t += rng.choice((1, 3, 40, 4000 if i % 97 == 0 else 7))
+            rows.append((t, 0.0 if i < 90 else (b + 2) * (1 - math.exp(-(i - 90) / 80)) + rng.random() / 50))
+    s = TimeSeriesSession(spark)
+    s.register("r", spark.createDataFrame(rng.sample(rows, len(rows)) + [(5, None), (6, math.nan)], "time long, y double"))
+    out = s.sql("SELECT pid_estimate(y, 'imc', NULL, 0.05, NULL, NULL) AS r FROM r GROUP BY time(10000s)")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    expected = []
+    for b in range(2):
+        own = [r for r in sorted(rows) if r[0] // 10_000_000 == b]
+        low, high = sum(y for _, y in own[:35]) / 35, sum(y for _, y in own[-70:]) / 70
+        at = []
+        for level in (0.35, 0.85):
+            (t0, x0), (t1, x1) = next((p, q) for p, q in ((tuple((t, (y - low) / (high - low)) for t, y in own[i : i + 2])) for i in range(699)) if p[1] < level <= q[1])
+            at.append(t0 - own[0][0] + (level - x0) / (x1 - x0) * (t1 - t0))
+        expected.append(control.tune(*control.model(700, low, high, own[1][0] - own[0][0], *at), "imc"))
+    for (got,), want in zip(values(out), expected, strict=True):
+        assert list(json.loads(got).values()) == pytest.approx(list(want), rel=1e-9)
